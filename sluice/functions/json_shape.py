@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 
-NUMBER = "number"
-INTEGER = "integer"
+# JSON types by the names variants give them.
+STRING, BOOLEAN, NULL, OBJECT = ("STRING",), ("BOOLEAN",), ("VOID",), ("OBJECT",)
+INTEGER = ("BIGINT",)
+NUMBER = ("BIGINT", "DECIMAL", "DOUBLE")
 
-# JSON types of an answer: which types each field may hold.
+# Which JSON types each field may hold.
 CONTENT_TYPES: Mapping[str, tuple[str, ...]] = {
-    "categoria": ("string",), "prioridad": ("string",), "area_sugerida": ("string",), "idioma": ("string",),
-    "resumen": ("string",), "requiere_info": ("boolean",), "pregunta_seguimiento": ("string", "null"),
+    "categoria": STRING, "prioridad": STRING, "area_sugerida": STRING, "idioma": STRING, "resumen": STRING,
+    "requiere_info": BOOLEAN, "pregunta_seguimiento": STRING + NULL,
 }
-ANSWER_TYPES: Mapping[str, tuple[str, ...]] = {**CONTENT_TYPES, "confianza": (NUMBER, INTEGER)}
-CLASSIFICATION_TYPES: Mapping[str, tuple[str, ...]] = {
-    **ANSWER_TYPES, "id": ("string",), "version_prompt": ("string",),
-}
-SUBMISSION_TYPES: Mapping[str, tuple[str, ...]] = {"id": ("string",), "mensaje": ("string",)}
+ANSWER_TYPES: Mapping[str, tuple[str, ...]] = {**CONTENT_TYPES, "confianza": NUMBER}
+CLASSIFICATION_TYPES: Mapping[str, tuple[str, ...]] = {**ANSWER_TYPES, "id": STRING, "version_prompt": STRING}
+SUBMISSION_TYPES: Mapping[str, tuple[str, ...]] = {"id": STRING, "mensaje": STRING}
 
 
 def parse_strict(text: Column) -> Column:
@@ -35,17 +35,8 @@ def parse_strict(text: Column) -> Column:
 
 
 def json_type(value: Column) -> Column:
-    """JSON type name of a variant; null where the key is absent."""
-    schema = F.schema_of_variant(value)
-    return (
-        F.when(schema == "VOID", "null")
-        .when(schema == "STRING", "string")
-        .when(schema == "BOOLEAN", "boolean")
-        .when(schema == "BIGINT", INTEGER)
-        .when(schema.startswith("DECIMAL") | schema.isin("DOUBLE", "FLOAT"), NUMBER)
-        .when(schema.startswith("ARRAY"), "array")
-        .when(schema.startswith("OBJECT"), "object")
-    )
+    """Type name of a variant without its parameters; null where the key is absent."""
+    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
 
 
 def field_type(value: Column, name: str) -> Column:
@@ -59,10 +50,8 @@ def shape_flags(text: Column, value: Column, types: Mapping[str, tuple[str, ...]
     """
     names = F.array(*[F.lit(name) for name in types])
     keys = F.coalesce(F.json_object_keys(text), F.array().cast("array<string>"))
-    found = {name: field_type(value, name) for name in types}
-    wrong = [
-        F.when(kind.isNotNull() & ~kind.isin(*types[name]), F.lit(f"type:{name}")) for name, kind in found.items()
-    ]
+    # An absent key has no type; the comparison is null then and flags nothing.
+    wrong = [F.when(~field_type(value, name).isin(*allowed), F.lit(f"type:{name}")) for name, allowed in types.items()]
     parts = [
         F.transform(F.array_sort(F.array_except(keys, names)), lambda key: F.concat(F.lit("unknown:"), key)),
         F.filter(F.array(*wrong), lambda flag: flag.isNotNull()),
@@ -73,7 +62,7 @@ def shape_flags(text: Column, value: Column, types: Mapping[str, tuple[str, ...]
         parts.insert(
             0, F.transform(F.array_except(names, keys), lambda key: F.concat(F.lit("missing:"), key))
         )
-    is_object = F.coalesce(json_type(value) == "object", F.lit(False))
+    is_object = F.coalesce(json_type(value).isin(*OBJECT), F.lit(False))
     return F.when(is_object, F.concat(*parts)).otherwise(F.array(F.lit("not_an_object")))
 
 

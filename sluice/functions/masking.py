@@ -19,8 +19,28 @@ def _not_after(word: str) -> str:
     return f"(?<!(?iuU:{word}{V.CONTEXT_TAIL}))"
 
 
+def _bind(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``, which may read it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _replace_where(text: Column, sign: str, pattern: str, placeholder: str) -> Column:
+    """Replace only in texts that show a cheap necessary sign of the pattern; most texts stop there."""
+    return _bind(
+        text,
+        lambda current: F.when(current.rlike(sign), F.regexp_replace(current, pattern, placeholder)).otherwise(current),
+    )
+
+
+def _found(number: str, context: str = "") -> str:
+    """A number between edges. The context is looked up only where the number is already there."""
+    if not context:
+        return V.LEFT_EDGE + number + V.RIGHT_EDGE
+    return f"{V.LEFT_EDGE}(?={number}{V.RIGHT_EDGE}){context}{number}{V.RIGHT_EDGE}"
+
+
 def mask_email(text: Column) -> Column:
-    return F.regexp_replace(text, V.EMAIL, "[EMAIL]")
+    return _replace_where(text, "@", V.EMAIL, "[EMAIL]")
 
 
 def cnpj_valid(digits: Column) -> Column:
@@ -42,15 +62,10 @@ def cnpj_valid(digits: Column) -> Column:
     )
 
 
-def _bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``, which may read it several times."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def mask_cnpj(text: Column) -> Column:
-    bare = V.LEFT_EDGE + V.CNPJ_BARE + V.RIGHT_EDGE
-    masked = F.regexp_replace(text, V.LEFT_EDGE + V.CNPJ_FORMATTED + V.RIGHT_EDGE, "[CNPJ]")
-    masked = F.regexp_replace(masked, V.LEFT_EDGE + _after(V.CNPJ_WORD) + V.CNPJ_BARE + V.RIGHT_EDGE, "[CNPJ]")
+    bare = _found(V.CNPJ_BARE)
+    masked = _replace_where(text, r"[0-9]\.[0-9]{3}/", _found(V.CNPJ_FORMATTED), "[CNPJ]")
+    masked = _replace_where(masked, V.CNPJ_BARE, _found(V.CNPJ_BARE, _after(V.CNPJ_WORD)), "[CNPJ]")
 
     def mask_valid_runs(current: Column) -> Column:
         runs = F.filter(F.array_distinct(F.regexp_extract_all(current, F.lit(f"({bare})"), 1)), cnpj_valid)
@@ -62,27 +77,25 @@ def mask_cnpj(text: Column) -> Column:
             ),
         )
         # The per-run pattern varies by row and cannot be precompiled: only rows with a bare run take it.
-        return F.when(current.rlike(bare), replaced).otherwise(current)
+        return F.when(current.rlike(V.CNPJ_BARE), replaced).otherwise(current)
 
     return _bind(masked, mask_valid_runs)
 
 
 def mask_rfc(text: Column) -> Column:
-    return F.regexp_replace(text, f"{V.LEFT_EDGE}(?iu:{V.RFC}){V.RIGHT_EDGE}", "[RFC]")
+    return _replace_where(text, "[0-9]{6}", f"{V.LEFT_EDGE}(?iu:{V.RFC}){V.RIGHT_EDGE}", "[RFC]")
 
 
 def mask_country_phone(text: Column) -> Column:
-    return F.regexp_replace(text, V.LEFT_EDGE + V.COUNTRY_PHONE + V.RIGHT_EDGE, "[PHONE]")
+    return _replace_where(text, r"\+5[25]", _found(V.COUNTRY_PHONE), "[PHONE]")
 
 
 def mask_local_phone(text: Column) -> Column:
-    pattern = V.LEFT_EDGE + _not_after(V.REFERENCE_WORD) + V.LOCAL_PHONE + V.RIGHT_EDGE
-    return F.regexp_replace(text, pattern, "[PHONE]")
+    return _replace_where(text, "[0-9]{4}", _found(V.LOCAL_PHONE, _not_after(V.REFERENCE_WORD)), "[PHONE]")
 
 
 def mask_bare_phone(text: Column) -> Column:
-    pattern = V.LEFT_EDGE + _after(V.PHONE_WORD) + V.BARE_PHONE + V.RIGHT_EDGE
-    return F.regexp_replace(text, pattern, "[PHONE]")
+    return _replace_where(text, "[0-9]{10}", _found(V.BARE_PHONE, _after(V.PHONE_WORD)), "[PHONE]")
 
 
 MASK_STEPS = (mask_email, mask_cnpj, mask_rfc, mask_country_phone, mask_local_phone, mask_bare_phone)

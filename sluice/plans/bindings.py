@@ -309,7 +309,9 @@ def bind(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame
         return read_table(spark, sf_dir, name)
     sql = BINDINGS[name]
     inputs = {part: bind(spark, sf_dir, part, given) for part in dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", sql))}
-    return spark.sql(sql, **inputs)
+    # Braces of JSON texts are literal; only {name} stands for a DataFrame.
+    literal = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(r"\{\{([a-z]\w*)\}\}", r"{\1}", literal), **inputs)
 
 
 def with_bindings(sql: str) -> str:

@@ -42,11 +42,11 @@ def stamp_sql(moment: str) -> str:
 def flags_sql(flags: list[tuple[str, str]]) -> str:
     """Names of the true conditions, comma separated."""
     cases = ", ".join(f"CASE WHEN {condition} THEN '{name}' END" for name, condition in flags)
-    return f"array_to_string(list_filter([{cases}], x -> x IS NOT NULL), ',')"
+    return f"array_to_string(list_filter([{cases}], lambda x: x IS NOT NULL), ',')"
 
 
 def words_sql(text: str) -> str:
-    return f"len(list_filter(regexp_split_to_array({text}, '\\s+'), w -> w <> ''))"
+    return f"len(list_filter(regexp_split_to_array({text}, '\\s+'), lambda w: w <> ''))"
 
 
 def blank_sql(text: str) -> str:

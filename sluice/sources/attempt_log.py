@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
-from sluice.functions.json_shape import INTEGER, NUMBER, field_type, json_type, parse_strict
+from sluice.functions.json_shape import BOOLEAN, INTEGER, NUMBER, OBJECT, STRING, field_type, json_type, parse_strict
 
 RUN_OF_FILE = r"run_id=([^/]+)/"
 
@@ -24,35 +24,28 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     ).withColumn("run_id", F.regexp_extract("file", RUN_OF_FILE, 1))
 
 
-def _text_of(name: str) -> Column:
-    return F.when(field_type(F.col("_value"), name) == "string", F.try_variant_get("_value", f"$.{name}", "string"))
-
-
-def _integer_of(name: str) -> Column:
-    return F.when(field_type(F.col("_value"), name) == INTEGER, F.try_variant_get("_value", f"$.{name}", "long"))
-
-
-def _number_of(name: str) -> Column:
-    kind = field_type(F.col("_value"), name)
-    return F.when(kind.isin(INTEGER, NUMBER), F.try_variant_get("_value", f"$.{name}", "double"))
+def _read(name: str, types: tuple[str, ...], kind: str) -> Column:
+    """The field where it has one of the JSON types, else null; nothing is coerced."""
+    value = F.col("_value")
+    return F.when(field_type(value, name).isin(*types), F.try_variant_get(value, f"$.{name}", kind))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Typed event fields beside ``unparsable`` and ``is_event``; a value of another JSON type reads as null."""
     parsed = lines.withColumn("_value", parse_strict(F.col("text")))
-    kind = field_type(F.col("_value"), "success")
-    event = F.coalesce(_text_of("event") == V.ATTEMPT_EVENT, F.lit(False))
+    event = F.coalesce(_read("event", STRING, "string") == V.ATTEMPT_EVENT, F.lit(False))
+    is_object = F.coalesce(json_type(F.col("_value")).isin(*OBJECT), F.lit(False))
     return parsed.select(
         *lines.columns,
         F.col("_value").isNull().alias("unparsable"),
-        (F.coalesce(json_type(F.col("_value")) == "object", F.lit(False)) & event).alias("is_event"),
-        *[_text_of(name).alias(name) for name in ("message_id", "model", "prompt_version", "error_type")],
+        (is_object & event).alias("is_event"),
+        *[_read(name, STRING, "string").alias(name) for name in ("message_id", "model", "prompt_version", "error_type")],
         *[
-            _integer_of(name).alias(name)
+            _read(name, INTEGER, "long").alias(name)
             for name in ("attempt", "input_tokens", "output_tokens", "cached_input_tokens")
         ],
-        *[_number_of(name).alias(name) for name in ("latency_ms", "estimated_cost_usd")],
-        F.when(kind == "boolean", F.try_variant_get("_value", "$.success", "boolean")).alias("success"),
+        *[_read(name, NUMBER, "double").alias(name) for name in ("latency_ms", "estimated_cost_usd")],
+        _read("success", BOOLEAN, "boolean").alias("success"),
     )
 
 
