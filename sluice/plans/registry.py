@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from sluice.plans import contract_queries, masking_queries, request_queries  # noqa: F401
+from sluice.plans import contract_queries, evaluation_queries, masking_queries, request_queries  # noqa: F401
 from sluice.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
