@@ -1,6 +1,15 @@
 """All registered queries."""
 
-from sluice.plans import contract_queries, evaluation_queries, masking_queries, request_queries  # noqa: F401
+from sluice.plans import (  # noqa: F401
+    masking_queries,
+    contract_queries,
+    request_queries,
+    evaluation_queries,
+    accounting_queries,
+    language_queries,
+    source_queries,
+    streaming_queries,
+)
 from sluice.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

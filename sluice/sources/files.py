@@ -28,9 +28,16 @@ def load_results(spark: SparkSession, path: str, array: bool = False) -> DataFra
 
 
 def prompt_files(spark: SparkSession, path: str) -> DataFrame:
-    """Prompt files as (version, content), good and bad names alike. A prompt is one value, so one row per file."""
-    files = spark.read.option("wholetext", True).text(path)
-    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]*)\.md$", 1)
+    """Prompt files as (version, content), good and bad names alike. A prompt is one value, so one row per file.
+
+    The version is the file's name (v1.md) or, for tables written by Spark, its folder's (version=v1/).
+    """
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    file = F.col("_metadata.file_path")
+    name = F.coalesce(
+        F.nullif(F.regexp_extract(file, r"/version=([^/]*)/[^/]*$", 1), F.lit("")),
+        F.regexp_extract(file, r"([^/]*)\.md$", 1),
+    )
     return files.select(name.alias("version"), F.col("value").alias("content"))
 
 
