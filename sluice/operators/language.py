@@ -11,6 +11,7 @@ from sluice.sources.workspace import settle
 UNSEEN = 1e-6
 SCALE = 1000
 BROADCAST_ROWS = 2_000_000
+WIDE_LANGUAGES = 64
 SALTS = 64
 
 
@@ -27,7 +28,7 @@ def build_lang_profile(labelled: DataFrame, text: str = "text", lang: str = "lan
     With the same unseen share everywhere an absent gram weighs nothing, so the profile stays sparse.
     Weights are whole thousandths: their sums do not depend on the order of addition.
     """
-    counts = (
+    counts = settle(
         labelled.select(F.col(lang).alias("lang"), F.explode(trigrams(F.col(text))).alias("gram"))
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
@@ -39,27 +40,45 @@ def build_lang_profile(labelled: DataFrame, text: str = "text", lang: str = "lan
     return joined.select("gram", "lang", weight.alias("weight"))
 
 
+def _best(scores: list[tuple[str, Column]]) -> Column:
+    """Language of the highest score, ties to the first name; languages without a hit have no score."""
+    ranked = [
+        F.when(score.isNotNull(), F.struct(score.alias("score"), F.lit(-place).alias("place"), F.lit(lang).alias("lang")))
+        for place, (lang, score) in enumerate(scores)
+    ]
+    return F.array_max(F.array(*ranked)).getField("lang")
+
+
 def predict_lang(
     texts: DataFrame, text: str, profile: DataFrame, key: str = "id", broadcast_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
     """(key, lang_pred): best total weight, ties to the first language name, null without a known trigram.
 
-    A profile within ``broadcast_rows`` (checked by counting it) is broadcast, so texts meet it without a
-    shuffle and only per-text sums move. A larger one is joined by gram, with common grams salted by text.
+    A profile within ``broadcast_rows`` and ``WIDE_LANGUAGES`` (both checked by counting) is broadcast with one
+    weight column per language: texts meet it without a shuffle and only per-text sums move. A larger one is
+    joined by gram, with common grams salted by text.
     """
     profile = settle(profile)
     grams = texts.select(key, F.explode_outer(trigrams(F.col(text))).alias("gram"))
-    if profile.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        hits = grams.join(F.broadcast(profile), "gram", "left")
-    else:
-        salted = profile.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        hits = (
-            grams.groupBy(key, "gram").agg(F.count("*").alias("_n"))
-            .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-            .join(salted, ["gram", "_salt"], "left")
-            .withColumn("weight", F.col("weight") * F.col("_n"))
+    rows = profile.limit(broadcast_rows + 1).count()
+    langs = sorted(row.lang for row in profile.select("lang").distinct().limit(WIDE_LANGUAGES + 1).collect())
+    if rows <= broadcast_rows and 0 < len(langs) <= WIDE_LANGUAGES:
+        wide = profile.groupBy("gram").agg(
+            *[F.sum(F.when(F.col("lang") == lang, F.col("weight"))).alias(f"_w{place}") for place, lang in enumerate(langs)]
         )
-    scores = hits.groupBy(key, "lang").agg(F.sum("weight").alias("_score"))
+        sums = (
+            grams.join(F.broadcast(wide), "gram", "left")
+            .groupBy(key)
+            .agg(*[F.sum(f"_w{place}").alias(f"_w{place}") for place in range(len(langs))])
+        )
+        return sums.select(key, _best([(lang, F.col(f"_w{place}")) for place, lang in enumerate(langs)]).alias("lang_pred"))
+    salted = profile.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = (
+        grams.groupBy(key, "gram").agg(F.count("*").alias("_n"))
+        .withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        .join(salted, ["gram", "_salt"], "left")
+    )
+    scores = hits.groupBy(key, "lang").agg(F.sum(F.col("weight") * F.col("_n")).alias("_score"))
     best = F.min(F.when(F.col("lang").isNotNull(), F.struct((-F.col("_score")).alias("s"), "lang")))
     return scores.groupBy(key).agg(best.alias("_best")).select(key, F.col("_best.lang").alias("lang_pred"))
 

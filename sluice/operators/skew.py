@@ -4,6 +4,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+SMALL_SPLITS = 64
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deal a small scan out over all cores before heavy per-row work.
+
+    A file of one row group is read by one task however many cores there are. Scans of more than a few splits
+    per core, and all scans from ``SMALL_SPLITS`` splits on, are left as they are: no shuffle is added at scale.
+    Only for plans without a shuffle, whose splits are known before anything runs.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < min(2 * cores, SMALL_SPLITS) else rows
 
 
 def attach(

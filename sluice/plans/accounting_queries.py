@@ -53,6 +53,8 @@ def log_rows(spark, sf_dir):
     return rows.select("run_id", "message_id", "attempt", "latency_ms", "success", "error_type", "input_tokens")
 
 
+# A log is one folder per run; few runs with many lines each keep the number of files small.
+LOG_RUN = "concat('run-', m)"
 LOG_LINE = """CASE WHEN k = 1 THEN 'not json' WHEN k = 2 THEN '[1]' WHEN k = 3 THEN '{"event":"other"}' WHEN k = 4 THEN '{"event":"model_call"} x'
     ELSE concat('{"event":"model_call","message_id":"', message_id, '","attempt":', CASE WHEN k = 5 THEN 'true' WHEN k = 6 THEN '"2"' WHEN attempt IS NULL THEN 'null' ELSE concat('', attempt) END,
         ',"input_tokens":', CASE WHEN k = 7 THEN '1.5' ELSE concat('', k) END, ',"success":', CASE WHEN k = 8 THEN '1' ELSE 'false' END, '}') END"""
@@ -60,13 +62,13 @@ LOG_LINE = """CASE WHEN k = 1 THEN 'not json' WHEN k = 2 THEN '[1]' WHEN k = 3 T
 
 @query(
     "attempt_log_read",
-    "SELECT run_id, CASE WHEN k BETWEEN 1 AND 4 THEN 'invalid_event' ELSE '' END AS reason,"
+    f"SELECT {LOG_RUN} AS run_id, CASE WHEN k BETWEEN 1 AND 4 THEN 'invalid_event' ELSE '' END AS reason,"
     " CASE WHEN k NOT BETWEEN 1 AND 4 THEN message_id END AS message_id, CASE WHEN k NOT BETWEEN 1 AND 6 THEN attempt END AS attempt,"
     " CASE WHEN k NOT BETWEEN 1 AND 4 AND k <> 7 THEN k END AS input_tokens, CASE WHEN k NOT BETWEEN 1 AND 4 AND k <> 8 THEN false END AS success FROM {attempt_numbers}",
 )
 def log_read(spark, sf_dir):
     """Log lines written per run as text, read back as events and named bad lines."""
-    lines = bind(spark, sf_dir, "attempt_numbers").selectExpr("run_id", f"{LOG_LINE} AS value")
+    lines = bind(spark, sf_dir, "attempt_numbers").selectExpr(f"{LOG_RUN} AS run_id", f"{LOG_LINE} AS value")
     path = new_folder(spark, "attempt-log")
     lines.write.partitionBy("run_id").text(path)
     events, bad = read_attempt_log(spark, path)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice import schemas
+from sluice.operators.skew import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -335,6 +336,11 @@ def with_bindings(sql: str) -> str:
     return f"WITH {ctes} {plain}"
 
 
+def bind_spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table without shuffles behind it, dealt out over the cores where it is small."""
+    return spread(bind(spark, sf_dir, name))
+
+
 def read_table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as a file stream, whether it is one parquet file or a folder of them."""
     table = read_table(spark, sf_dir, name)

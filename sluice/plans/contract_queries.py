@@ -8,7 +8,7 @@ from sluice.functions import json_shape as J
 from sluice.functions.money import backoff_delay, token_cost
 from sluice.operators.classification import parse_answers, validate_classifications
 from sluice.operators.corrections import judge_corrections, parse_corrections
-from sluice.plans.bindings import bind, stored_requests
+from sluice.plans.bindings import bind, bind_spread, stored_requests
 from sluice.plans.catalog import blank_sql, flags_sql, in_sql, listed, query, stamp, stamp_sql, words_sql
 from sluice.sources.store import encode_json
 
@@ -158,7 +158,7 @@ def check_provenance(spark, sf_dir):
 )
 def validated(spark, sf_dir):
     """Valid and quarantined rows, both kept."""
-    checked = validate_classifications(bind(spark, sf_dir, "candidates"))
+    checked = validate_classifications(bind_spread(spark, sf_dir, "candidates"))
     good, bad = C.split_valid(checked)
     kept = good.select("row_id", F.lit("").alias("violations"), F.lit(True).alias("valid"))
     return kept.unionByName(bad.select("row_id", listed(F.col("violations")).alias("violations"), F.lit(False).alias("valid")))
@@ -194,7 +194,7 @@ def shape_sql(text: str, types, partial: bool = False) -> str:
 
 @query("check_shape", f"SELECT id, {shape_sql('answer', J.ANSWER_TYPES)} AS violations FROM {{answers}}")
 def check_shape(spark, sf_dir):
-    rows = bind(spark, sf_dir, "answers").withColumn("value", J.parse_strict(F.col("answer")))
+    rows = bind_spread(spark, sf_dir, "answers").withColumn("value", J.parse_strict(F.col("answer")))
     return rows.select("id", listed(J.shape_flags(F.col("answer"), F.col("value"), J.ANSWER_TYPES)).alias("violations"))
 
 
@@ -208,7 +208,7 @@ def check_shape(spark, sf_dir):
     + ", CASE WHEN violations = '' THEN CAST(answer ->> '$.confianza' AS DOUBLE) END AS confianza FROM a",
 )
 def parse_answer(spark, sf_dir):
-    parsed = parse_answers(bind(spark, sf_dir, "answers"))
+    parsed = parse_answers(bind_spread(spark, sf_dir, "answers"))
     return parsed.select("id", listed(F.col("shape_violations")).alias("violations"), *J.ANSWER_TYPES)
 
 
@@ -223,7 +223,7 @@ def parse_answer(spark, sf_dir):
     + " END AS violations FROM s",
 )
 def check_submission(spark, sf_dir):
-    rows = bind(spark, sf_dir, "payloads").withColumn("value", J.parse_strict(F.col("payload")))
+    rows = bind_spread(spark, sf_dir, "payloads").withColumn("value", J.parse_strict(F.col("payload")))
     rows = rows.select(
         "row_id",
         J.shape_flags(F.col("payload"), F.col("value"), J.SUBMISSION_TYPES).alias("shape"),
@@ -241,7 +241,7 @@ def check_submission(spark, sf_dir):
     + "], key))), ',') AS forbidden FROM {change_sets}",
 )
 def forbidden_fields(spark, sf_dir):
-    return bind(spark, sf_dir, "change_sets").select("id", "seq", listed(J.unknown_keys(F.col("changes"))).alias("forbidden"))
+    return bind_spread(spark, sf_dir, "change_sets").select("id", "seq", listed(J.unknown_keys(F.col("changes"))).alias("forbidden"))
 
 
 # The brute-force form: every change set of an ID is judged in turn against the record left by the one before.
@@ -271,7 +271,7 @@ CHANGE_ORACLE = f"""
 @query("check_correction", CHANGE_ORACLE)
 def check_correction(spark, sf_dir):
     requests = stored_requests(bind(spark, sf_dir, "requests"))
-    judged = judge_corrections(requests, parse_corrections(bind(spark, sf_dir, "change_sets")))
+    judged = judge_corrections(requests, parse_corrections(bind_spread(spark, sf_dir, "change_sets")))
     return judged.select("id", "seq", F.coalesce("reason", F.lit("")).alias("reason"))
 
 

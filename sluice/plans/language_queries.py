@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from sluice.operators import language as L
 from sluice.operators.classification import classify, outcome_messages, pandas_scorer, stamp_provenance
 from sluice.operators.rubric import DEFAULT_LABELS, LEXICON, NO_HIT_CONFIDENCE, rubric_labels, rubric_scores
-from sluice.plans.bindings import bind
+from sluice.plans.bindings import bind, bind_spread
 from sluice.plans.catalog import query, words_sql
 from sluice.plans.masking_queries import masked_ctes
 from sluice.sources.files import prompt_files, valid_prompts
@@ -40,7 +40,7 @@ def verdict_ctes(source: str, key: str, text: str) -> str:
 
 
 def _profile(spark, sf_dir):
-    return L.build_lang_profile(bind(spark, sf_dir, "documents"))
+    return L.build_lang_profile(bind_spread(spark, sf_dir, "documents"))
 
 
 @query("langid_profile", f"WITH {PROFILE_CTES} SELECT gram, lang, weight FROM profile")
@@ -53,7 +53,7 @@ def langid_profile(spark, sf_dir):
     f"WITH {PROFILE_CTES}, {verdict_ctes('{documents}', 'doc_id', 'text')} SELECT vk AS doc_id, lang_pred FROM verdict",
 )
 def langid_predict(spark, sf_dir):
-    return L.predict_lang(bind(spark, sf_dir, "documents"), "text", _profile(spark, sf_dir), "doc_id")
+    return L.predict_lang(bind_spread(spark, sf_dir, "documents"), "text", _profile(spark, sf_dir), "doc_id")
 
 
 @query(
@@ -61,7 +61,7 @@ def langid_predict(spark, sf_dir):
     f"WITH {PROFILE_CTES}, {verdict_ctes('{messages}', 'id', 'message')} SELECT vk AS id, coalesce(lang_pred = 'es', false) AS summary_accepted FROM verdict",
 )
 def spanish_accepted(spark, sf_dir):
-    return L.spanish_accepted(bind(spark, sf_dir, "messages"), "message", _profile(spark, sf_dir))
+    return L.spanish_accepted(bind_spread(spark, sf_dir, "messages"), "message", _profile(spark, sf_dir))
 
 
 @query(
@@ -70,7 +70,7 @@ def spanish_accepted(spark, sf_dir):
     f" count(CASE WHEN {words_sql('text')} BETWEEN 1 AND 20 THEN 1 END) AS within_limit FROM {{documents}} GROUP BY source",
 )
 def summary_compliance(spark, sf_dir):
-    rows = bind(spark, sf_dir, "documents").select(
+    rows = bind_spread(spark, sf_dir, "documents").select(
         F.col("source").alias("run_id"), F.col("text").alias("resumen"), (F.col("lang") == "es").alias("summary_accepted")
     )
     return L.summary_compliance(rows)
@@ -108,7 +108,7 @@ def rubric_ctes(source: str, text: str) -> str:
 
 @query("rubric_scores", f"WITH {rubric_ctes('{tickets}', 'message')} SELECT id, dimension, label, score FROM rub")
 def scores(spark, sf_dir):
-    return rubric_scores(bind(spark, sf_dir, "tickets"))
+    return rubric_scores(bind_spread(spark, sf_dir, "tickets"))
 
 
 @query(
@@ -116,7 +116,7 @@ def scores(spark, sf_dir):
     f"WITH {rubric_ctes('{tickets}', 'message')} SELECT lbl.id, categoria, prioridad, area_sugerida, idioma, round(confianza, 6) AS confianza, words AS word_count FROM lbl JOIN cnt USING (id)",
 )
 def labels(spark, sf_dir):
-    rows = rubric_labels(bind(spark, sf_dir, "tickets"))
+    rows = rubric_labels(bind_spread(spark, sf_dir, "tickets"))
     return rows.select(
         "id", "categoria", "prioridad", "area_sugerida", "idioma", F.round("confianza", 6).alias("confianza"),
         F.col("word_count").cast("long").alias("word_count"),
@@ -140,7 +140,7 @@ def classify_batch(spark, sf_dir):
     """Tickets masked, labelled by the rubric, validated, held to the language policy and stamped."""
     profile = _profile(spark, sf_dir)
     outcomes = classify(
-        bind(spark, sf_dir, "tickets"), policy=lambda summaries: L.spanish_accepted(summaries, "resumen", profile)
+        bind_spread(spark, sf_dir, "tickets"), policy=lambda summaries: L.spanish_accepted(summaries, "resumen", profile)
     )
     return outcomes.select(
         "id", "state", F.coalesce("failure_category", F.lit("")).alias("failure_category"),
@@ -172,7 +172,7 @@ def keyword_model():
 )
 def classify_plugin(spark, sf_dir):
     """The same run with a pandas scorer; its invalid labels become failures."""
-    outcomes = classify(bind(spark, sf_dir, "tickets"), pandas_scorer(keyword_model, max_tasks=8), model="keyword")
+    outcomes = classify(bind_spread(spark, sf_dir, "tickets"), pandas_scorer(keyword_model, max_tasks=8), model="keyword")
     return outcomes.select(
         "id", "state", F.coalesce("failure_category", F.lit("")).alias("failure_category"), "classification.categoria"
     )
@@ -189,7 +189,7 @@ def joined_messages(spark, sf_dir):
     "SELECT id, 'model-a' AS model, 'v2' AS version_prompt, 'spanish-summary-v1' AS language_policy FROM {tickets}",
 )
 def stamped(spark, sf_dir):
-    return stamp_provenance(bind(spark, sf_dir, "tickets").select("id"), "model-a", "v2")
+    return stamp_provenance(bind_spread(spark, sf_dir, "tickets").select("id"), "model-a", "v2")
 
 
 @query(
@@ -200,7 +200,7 @@ def stamped(spark, sf_dir):
 )
 def prompt_versions(spark, sf_dir):
     """Prompt files, one per document source, written as vN.md folders and loaded with the checks on name and content."""
-    counted = bind(spark, sf_dir, "documents").groupBy("source").count()
+    counted = bind_spread(spark, sf_dir, "documents").groupBy("source").count()
     number = F.substring("source", 4, 10).cast("long") + 1
     name = F.when(F.col("source") == "src3", "borrador").when(F.col("source") == "src4", "v0").otherwise(F.concat(F.lit("v"), number))
     content = F.when(F.col("source") == "src5", "  ").otherwise(F.concat(F.lit("Documents: "), "count"))

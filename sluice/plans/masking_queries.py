@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice.functions import masking as M
-from sluice.plans.bindings import bind
+from sluice.plans.bindings import bind, bind_spread
 from sluice.plans.catalog import query
 
 LEFT, RIGHT = "(^|[^A-Za-z0-9])", "([^A-Za-z0-9]|$)"
@@ -84,7 +84,7 @@ def masked_ctes(source: str, text: str, columns: str) -> str:
 
 
 def _masked_with(step):
-    return lambda spark, sf_dir: bind(spark, sf_dir, "texts").select("id", step(F.col("text")).alias("masked"))
+    return lambda spark, sf_dir: bind_spread(spark, sf_dir, "texts").select("id", step(F.col("text")).alias("masked"))
 
 
 query("mask_email", f"SELECT id, {email_sql('text')} AS masked FROM {{texts}}")(_masked_with(M.mask_email))
@@ -109,7 +109,7 @@ query("mask_pii", f"WITH {masked_ctes('{texts}', 'text', 'id')} SELECT id, maske
 )
 def mask_summary(spark, sf_dir):
     """Documents changed by masking, and phones masked, per language and source."""
-    masked = bind(spark, sf_dir, "documents").select("lang", "source", "text", M.mask_pii(F.col("text")).alias("masked"))
+    masked = bind_spread(spark, sf_dir, "documents").select("lang", "source", "text", M.mask_pii(F.col("text")).alias("masked"))
     phones = F.length("masked") - F.length(F.replace(F.col("masked"), F.lit("[PHONE]"), F.lit("[PHONE")))
     return masked.groupBy("lang", "source").agg(
         F.count("*").alias("documents"),

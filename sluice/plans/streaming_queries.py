@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice.operators import requests as R
-from sluice.plans.accounting_queries import LOG_LINE
+from sluice.plans.accounting_queries import LOG_LINE, LOG_RUN
 from sluice.plans.bindings import ARRIVAL, bind, read_table_stream, stored_requests
 from sluice.plans.catalog import ORACLES, query
 from sluice.sources.store import requests_scan
@@ -47,12 +47,12 @@ def corrections(spark, sf_dir):
 
 @query(
     "stream_usage",
-    "SELECT run_id, count(CASE WHEN k NOT BETWEEN 1 AND 4 THEN 1 END) AS observed_model_calls, count(CASE WHEN k BETWEEN 1 AND 4 THEN 1 END) AS invalid_lines,"
-    " CAST(coalesce(sum(CASE WHEN k NOT BETWEEN 1 AND 4 AND k <> 7 THEN k END), 0) AS BIGINT) AS input_tokens FROM {attempt_numbers} GROUP BY run_id",
+    f"SELECT {LOG_RUN} AS run_id, count(CASE WHEN k NOT BETWEEN 1 AND 4 THEN 1 END) AS observed_model_calls, count(CASE WHEN k BETWEEN 1 AND 4 THEN 1 END) AS invalid_lines,"
+    " CAST(coalesce(sum(CASE WHEN k NOT BETWEEN 1 AND 4 AND k <> 7 THEN k END), 0) AS BIGINT) AS input_tokens FROM {attempt_numbers} GROUP BY 1",
 )
 def usage(spark, sf_dir):
     base = new_folder(spark, "stream-usage")
-    lines = bind(spark, sf_dir, "attempt_numbers").selectExpr("run_id", f"{LOG_LINE} AS value")
+    lines = bind(spark, sf_dir, "attempt_numbers").selectExpr(f"{LOG_RUN} AS run_id", f"{LOG_LINE} AS value")
     lines.write.partitionBy("run_id").text(f"{base}/log")
     stream_usage(tail_lines(spark, f"{base}/log"), f"{base}/totals", f"{base}/checkpoint").awaitTermination()
     totals = spark.read.parquet(f"{base}/totals/batch={_latest(spark, f'{base}/totals', 'batch')}")
