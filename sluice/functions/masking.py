@@ -47,19 +47,20 @@ def cnpj_valid(digits: Column) -> Column:
     """Check digits of a 14-digit run; a run of one repeated digit is never valid."""
 
     def weighted(weights):
-        terms = [F.substring(digits, position + 1, 1).cast("int") * weight for position, weight in enumerate(weights)]
+        terms = [F.substring(digits, position + 1, 1).try_cast("int") * weight for position, weight in enumerate(weights)]
         total = terms[0]
         for term in terms[1:]:
             total = total + term
         rest = total % 11
         return F.when(rest < 2, F.lit(0)).otherwise(11 - rest)
 
-    return (
+    valid = (
         digits.rlike("^[0-9]{14}$")
         & ~digits.rlike(r"^([0-9])\1{13}$")
-        & (weighted(V.CNPJ_WEIGHTS_FIRST) == F.substring(digits, 13, 1).cast("int"))
-        & (weighted(V.CNPJ_WEIGHTS_SECOND) == F.substring(digits, 14, 1).cast("int"))
+        & (weighted(V.CNPJ_WEIGHTS_FIRST) == F.substring(digits, 13, 1).try_cast("int"))
+        & (weighted(V.CNPJ_WEIGHTS_SECOND) == F.substring(digits, 14, 1).try_cast("int"))
     )
+    return F.coalesce(valid, F.lit(False))
 
 
 def mask_cnpj(text: Column) -> Column:

@@ -14,11 +14,11 @@ def cost_expression(
     given: Column, produced: Column, cached: Column, price_in: Column, price_out: Column, price_cached: Column
 ) -> Column:
     """Exact decimal cost; null where a price or count is unknown or the counts contradict each other."""
-    used = F.coalesce(cached, F.lit(0)).cast(TOKENS)
+    used = F.coalesce(cached, F.lit(0)).try_cast(TOKENS)
     total = (
-        (given.cast(TOKENS) - used) * price_in.cast(PRICE)
+        (given.try_cast(TOKENS) - used) * price_in.cast(PRICE)
         + used * F.coalesce(price_cached.cast(PRICE), F.lit(0).cast(PRICE))
-        + produced.cast(TOKENS) * price_out.cast(PRICE)
+        + produced.try_cast(TOKENS) * price_out.cast(PRICE)
     )
     known = (
         given.isNotNull() & produced.isNotNull() & price_in.isNotNull() & price_out.isNotNull()

@@ -78,7 +78,7 @@ def _final_differs() -> Column:
     same_numbers = F.lit(True)
     for name in ("input_tokens", "output_tokens", "cached_input_tokens"):
         same_numbers = same_numbers & F.col(f"final.{name}").eqNullSafe(F.col(f"meta_{name}"))
-    same_cost = F.col("final.estimated_cost_usd").cast("string").cast(COST).eqNullSafe(
+    same_cost = F.col("final.estimated_cost_usd").cast("string").try_cast(COST).eqNullSafe(
         F.col("meta_estimated_cost_usd").cast(COST)
     )
     return ~(
@@ -171,7 +171,7 @@ def account_usage(
         F.sum("events").alias("observed_model_calls"),
         known_sum(known("input_tokens")).alias("input_tokens_known_subtotal"),
         known_sum(known("output_tokens")).alias("output_tokens_known_subtotal"),
-        known_sum(known("estimated_cost_usd").cast("string").cast(COST)).alias("estimated_cost_usd_known_subtotal"),
+        known_sum(known("estimated_cost_usd").cast("string").try_cast(COST)).alias("estimated_cost_usd_known_subtotal"),
         F.count(F.when(used & (F.col("first.input_tokens").isNull() | F.col("first.output_tokens").isNull()), 1)).alias(
             "_unknown_usage"
         ),

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice.functions.text import flag_list
+from sluice.operators.attempts import fatal_kinds
+from sluice.operators.skew import HOT_ROWS, attach, attach_counted
 
 
 def resume_pending(outcomes: DataFrame) -> DataFrame:
@@ -14,20 +16,17 @@ def resume_pending(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("state", state).withColumn("selected", F.col("state") == "pending")
 
 
-def fatal_cutoff(items: DataFrame, spread: list[str], hot_rows: int | None = None) -> DataFrame:
+def fatal_cutoff(items: DataFrame, spread_by: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Items (run_id, position, error_type) with ``started``.
 
     In submission order nothing after a run's first fatal failure starts. One minimum per run replaces a
     running window, so a run may hold any share of the rows.
     """
-    from sluice.operators.attempts import fatal_kinds
-    from sluice.operators.skew import HOT_ROWS, attach
-
     fatal = F.coalesce(F.col("error_type").isin(*fatal_kinds()), F.lit(False))
     stops = items.groupBy("run_id").agg(
         F.min(F.when(fatal, F.col("position"))).alias("_stop"), F.count("*").alias("_rows")
     )
-    rows = attach(items, stops, ["run_id"], spread, hot_rows=hot_rows or HOT_ROWS)
+    rows = attach(items, stops, ["run_id"], spread_by, hot_rows=hot_rows)
     started = F.col("_stop").isNull() | (F.col("position") <= F.col("_stop"))
     return rows.withColumn("started", started).drop("_stop")
 
@@ -94,26 +93,28 @@ def outcome_digest(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def drift_guard(recorded: DataFrame, current: DataFrame) -> DataFrame:
-    """(run_id, name, sha256) against current (name, sha256): the inputs that changed or disappeared."""
+def drift_guard(recorded: DataFrame, current: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(run_id, name, sha256) against current (name, sha256): the inputs that changed or disappeared.
+
+    Most runs record the same few inputs, so popular names are spread out.
+    """
     now = current.select("name", F.col("sha256").alias("_now"))
-    joined = recorded.join(now, "name", "left")
+    joined = attach_counted(recorded, now, ["name"], ["run_id"], hot_rows)
     return joined.where(~F.col("sha256").eqNullSafe(F.col("_now"))).select(
         "run_id", "name", F.when(F.col("_now").isNull(), "unknown_input").otherwise("changed").alias("drift")
     )
 
 
-def comparability(pairs: DataFrame, runs: DataFrame) -> DataFrame:
+def comparability(pairs: DataFrame, runs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Requested (baseline, candidate) pairs with the reasons why they cannot be compared.
 
     ``runs``: run_id, prompt_version, prompt_sha256, messages_sha256, references_sha256, execution, complete,
-    provenance_ok, models (distinct count) and model.
+    provenance_ok, models (distinct count) and model. One run may be the baseline of most pairs.
     """
-    base = runs.select([F.col(name).alias(f"b_{name}") for name in runs.columns])
-    cand = runs.select([F.col(name).alias(f"c_{name}") for name in runs.columns])
-    joined = pairs.join(base, F.col("baseline") == F.col("b_run_id"), "left").join(
-        cand, F.col("candidate") == F.col("c_run_id"), "left"
-    )
+    base = runs.select(F.col("run_id").alias("baseline"), *[F.col(name).alias(f"b_{name}") for name in runs.columns])
+    cand = runs.select(F.col("run_id").alias("candidate"), *[F.col(name).alias(f"c_{name}") for name in runs.columns])
+    joined = attach_counted(pairs, base, ["baseline"], ["candidate"], hot_rows)
+    joined = attach_counted(joined, cand, ["candidate"], ["baseline"], hot_rows)
 
     def same(name: str) -> Column:
         return F.col(f"b_{name}").eqNullSafe(F.col(f"c_{name}"))

@@ -22,14 +22,14 @@ def attach(
     rows: DataFrame,
     per_key: DataFrame,
     keys: list[str],
-    spread: list[str],
+    spread_by: list[str],
     rows_column: str = "_rows",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left join ``rows`` with ``per_key``, which has one row per key and counts the key's rows.
 
     A key with more than ``hot_rows`` rows is spread over ``ceil(rows / hot_rows)`` salts by a hash of the
-    ``spread`` columns, and only that key's row is repeated. The broadcast list of hot keys cannot be longer
+    ``spread_by`` columns, and only that key's row is repeated. The broadcast list of hot keys cannot be longer
     than (all rows / hot_rows), whatever the data. A join with an aggregate of the same rows is not split by
     adaptive execution, hence the salt.
     """
@@ -37,10 +37,18 @@ def attach(
     hot = sized.where(F.col("_salts") > 1).select(*keys, "_salts")
     salted_rows = (
         rows.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread), F.col("_salts")), F.lit(0)).cast("long"))
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_salts")), F.lit(0)).cast("long"))
         .drop("_salts")
     )
     salted_keys = sized.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts").cast("long") - 1))
     ).drop("_salts", rows_column)
     return salted_rows.join(salted_keys, [*keys, "_salt"], "left").drop("_salt")
+
+
+def attach_counted(
+    rows: DataFrame, per_key: DataFrame, keys: list[str], spread_by: list[str], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """``attach`` for a ``per_key`` table that comes from elsewhere: the rows of every key are counted first."""
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return attach(rows, counts.join(per_key, keys, "left"), keys, spread_by, hot_rows=hot_rows)

@@ -30,7 +30,7 @@ def running_usage(lines: DataFrame) -> DataFrame:
             F.count(F.when(~event, 1)).alias("invalid_lines"),
             known_sum(F.when(event, F.col("input_tokens"))).alias("input_tokens_known_subtotal"),
             known_sum(F.when(event, F.col("output_tokens"))).alias("output_tokens_known_subtotal"),
-            known_sum(F.when(event, F.col("estimated_cost_usd")).cast("string").cast(COST)).alias(
+            known_sum(F.when(event, F.col("estimated_cost_usd")).cast("string").try_cast(COST)).alias(
                 "estimated_cost_usd_known_subtotal"
             ),
         )
