@@ -32,7 +32,7 @@ def prompt_files(spark: SparkSession, path: str) -> DataFrame:
 
     The version is the file's name (v1.md) or, for tables written by Spark, its folder's (version=v1/).
     """
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     file = F.col("_metadata.file_path")
     name = F.coalesce(
         F.nullif(F.regexp_extract(file, r"/version=([^/]*)/[^/]*$", 1), F.lit("")),
