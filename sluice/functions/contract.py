@@ -132,6 +132,15 @@ def violations(flags: list[tuple[str, Column]]) -> Column:
     return flag_list(*flags)
 
 
-def split_valid(df: DataFrame, column: str = "violations") -> tuple[DataFrame, DataFrame]:
-    """(conforming rows, quarantined rows with their reasons)."""
-    return df.where(F.size(column) == 0).drop(column), df.where(F.size(column) > 0)
+def conforms(flags: list[tuple[str, Column]]) -> Column:
+    """No flag is true; a plain condition, where the names are not needed."""
+    broken = F.lit(False)
+    for _, condition in flags:
+        broken = broken | F.coalesce(condition, F.lit(False))
+    return ~broken
+
+
+def split_valid(df: DataFrame, flags: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
+    """(conforming rows, quarantined rows with ``violations``)."""
+    fine = conforms(flags)
+    return df.where(fine), df.where(~fine).withColumn("violations", violations(flags))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice import schemas
-from sluice.functions.contract import classification_flags, violations
+from sluice.functions.contract import classification_flags, conforms, split_valid
 from sluice.functions.json_shape import ANSWER_TYPES, parse_strict, shape_flags
 from sluice.functions.masking import mask_pii
 from sluice.operators.rubric import rubric_answer
@@ -46,13 +46,13 @@ def parse_answers(answers: DataFrame, text: str = "answer") -> DataFrame:
     )
 
 
-def validate_classifications(rows: DataFrame) -> DataFrame:
-    """Rows with ``violations`` of the whole contract."""
-    return rows.withColumn("violations", violations(classification_flags()))
+def validate_classifications(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that keep the whole contract, the others with their ``violations``)."""
+    return split_valid(rows, classification_flags())
 
 
-def failure_of(row_violations: Column, accepted: Column) -> Column:
-    return F.when(F.size(row_violations) > 0, "invalid_classification").when(
+def failure_of(fine: Column, accepted: Column) -> Column:
+    return F.when(~fine, "invalid_classification").when(
         ~F.coalesce(accepted, F.lit(False)), "invalid_summary_language"
     )
 
@@ -70,12 +70,12 @@ def classify(
     (id, summary_accepted), one row per ID. IDs are unique after intake.
     """
     answered = stamp_provenance(scorer(masked_messages(messages).select("id", "masked_message")), model, prompt_version)
-    checked = validate_classifications(answered)
+    checked = answered.withColumn("conforms", conforms(classification_flags()))
     if policy is None:
         checked = checked.withColumn("summary_accepted", F.lit(True))
     else:
         checked = checked.join(policy(checked.select("id", "resumen")), "id", "left")
-    category = failure_of(F.col("violations"), F.col("summary_accepted"))
+    category = failure_of(F.col("conforms"), F.col("summary_accepted"))
     checked = checked.withColumn("failure_category", category)
     fine = F.col("failure_category").isNull()
     return checked.select(

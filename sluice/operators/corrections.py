@@ -4,9 +4,11 @@ A correction is judged against the record as it is at that moment, which looks s
 field values are valid or not by themselves, and the one cross-field rule (a question if and only if
 information is missing) makes the record's relevant state a single bit. Only corrections that set both of
 its fields change that bit, and those are valid or not by themselves. So whether a correction that sets
-just one of them is accepted depends on the last such setter before it, which a chunked running ``last``
-finds: summaries per (ID, time chunk), a carry over the chunks, and a window inside each chunk. No ID's
-history is gathered in one place.
+just one of them is accepted depends on the last such setter before it.
+
+That lookup is a running ``last`` cut into ranges of (ID, time): ranges of equal size, whatever share of the
+rows one ID holds, then the last setter per ID and range, a carry over an ID's ranges, and a window inside
+each range. No ID's history is gathered in one place.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -18,10 +20,7 @@ from sluice.functions.contract import DOMAINS, outside
 from sluice.functions.json_shape import CONTENT_TYPES, parse_strict, shape_flags
 from sluice.functions.text import is_blank, word_count
 from sluice.operators.requests import effective_classification
-
-# Length of a timestamp's text up to the end of the unit: text order is time order.
-CHUNK_PREFIX = {"day": 10, "hour": 13, "minute": 16, "second": 19}
-
+from sluice.sources.workspace import settle
 
 def has(name: str) -> Column:
     return F.col(f"has_{name}")
@@ -64,55 +63,58 @@ def own_reason() -> Column:
     )
 
 
-def judge_corrections(
-    requests: DataFrame, corrections: DataFrame, chunk: str = "hour"
-) -> DataFrame:
-    """Corrections (id, ts, seq, has_*, values, optional summary_accepted) with ``reason``, null if accepted."""
-    if "summary_accepted" not in corrections.columns:
+def judge_corrections(requests: DataFrame, corrections: DataFrame, ranges: int | None = None) -> DataFrame:
+    """Corrections (id, ts, seq, has_*, values, optional summary_accepted) with ``reason``, null if accepted.
+
+    (ts, seq) orders an ID's corrections without ties. ``ranges`` defaults to the shuffle partitions, so it
+    follows the size the session is set up for.
+    """
+    ranges = ranges or int(corrections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = corrections.columns
+    if "summary_accepted" not in names:
         corrections = corrections.withColumn("summary_accepted", F.lit(True))
-    if "shape_violations" in corrections.columns:
-        shape_reason = F.when(F.size("shape_violations") > 0, F.lit("shape"))
-    else:
-        shape_reason = F.lit(None).cast("string")
+    own = own_reason()
+    if "shape_violations" in names:
+        own = F.when(F.size("shape_violations") > 0, "shape").otherwise(own)
     sets_needs, sets_question = has("requiere_info"), has("pregunta_seguimiento")
-    rows = (
-        corrections.withColumn("_own", F.coalesce(shape_reason, own_reason()))
-        .withColumn("_chunk", F.substring(F.col("ts").cast("string"), 1, CHUNK_PREFIX[chunk]))
-        .withColumn("_sets", F.col("_own").isNull() & sets_needs & sets_question)
-        .withColumn("_bit", F.when(F.col("_sets"), F.col("requiere_info")))
-        .withColumn(
-            "_wants",
-            F.when(
-                F.col("_own").isNull() & (sets_needs != sets_question),
-                F.when(sets_needs, F.col("requiere_info")).otherwise(F.col("pregunta_seguimiento").isNotNull()),
-            ),
+    sound = F.col("_own").isNull()
+    wants = F.when(sets_needs, F.col("requiere_info")).otherwise(F.col("pregunta_seguimiento").isNotNull())
+    # The range of a row is written down once: recomputed boundaries could differ between its two uses.
+    ranged = settle(
+        corrections.withColumn("_own", own)
+        .select(
+            *names, "_own",
+            F.when(sound & sets_needs & sets_question, F.col("requiere_info")).alias("_bit"),
+            F.when(sound & (sets_needs != sets_question), wants).alias("_wants"),
         )
+        .repartitionByRange(ranges, "id", "ts", "seq")
+        .withColumn("_range", F.spark_partition_id())
     )
-    chunks = rows.groupBy("id", "_chunk").agg(
-        F.max(F.when(F.col("_sets"), F.struct("ts", "seq", "_bit"))).alias("_last_set")
-    )
+    last_set = F.max(F.when(F.col("_bit").isNotNull(), F.struct("ts", "seq", "_bit")))
+    earlier = W.partitionBy("id").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     originals = requests.select(
         "id", F.col("state").alias("_state"), effective_classification().getField("requiere_info").alias("_original")
     )
-    earlier = W.partitionBy("id").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    # At most ``ranges`` rows per ID from here to the join back.
     carried = (
-        chunks.withColumn("_carry", F.last(F.col("_last_set._bit"), ignorenulls=True).over(earlier))
+        ranged.groupBy("id", "_range")
+        .agg(last_set.alias("_set"))
+        .withColumn("_carry", F.last(F.col("_set._bit"), ignorenulls=True).over(earlier))
         .join(originals, "id", "left")
-        .select("id", "_chunk", "_state", F.coalesce("_carry", "_original").alias("_before"))
+        .select("id", "_range", "_state", F.coalesce("_carry", "_original").alias("_before"))
     )
-    inside = W.partitionBy("id", "_chunk").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)
-    judged = rows.withColumn("_inside", F.last("_bit", ignorenulls=True).over(inside)).join(
-        carried, ["id", "_chunk"], "left"
+    inside = W.partitionBy("id", "_range").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, -1)
+    judged = ranged.withColumn("_inside", F.last("_bit", ignorenulls=True).over(inside)).join(
+        carried, ["id", "_range"], "left"
     )
-    current = F.coalesce("_inside", "_before")
     reason = (
         F.when(F.col("_own").isin("shape", "empty", "summary_language"), F.col("_own"))
         .when(F.col("_state").isNull(), "not_found")
         .when(F.col("_state") != "completed", "not_completed")
         .when(F.col("_own").isNotNull(), F.col("_own"))
-        .when(F.col("_wants") != current, "follow_up")
+        .when(F.col("_wants") != F.coalesce("_inside", "_before"), "follow_up")
     )
-    return judged.withColumn("reason", reason).select(*corrections.columns, "reason")
+    return judged.select(*names, reason.alias("reason"))
 
 
 def _last_accepted(name: str) -> Column:
@@ -152,8 +154,8 @@ def apply_latest(requests: DataFrame, latest: DataFrame) -> DataFrame:
 
 
 def fold_corrections(
-    requests: DataFrame, corrections: DataFrame, chunk: str = "hour"
+    requests: DataFrame, corrections: DataFrame, ranges: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(requests after all accepted corrections, rejected corrections with their reason)."""
-    judged = judge_corrections(requests, corrections, chunk)
+    judged = judge_corrections(requests, corrections, ranges)
     return apply_latest(requests, latest_fields(judged)), judged.where(F.col("reason").isNotNull())

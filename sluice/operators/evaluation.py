@@ -65,8 +65,10 @@ def score_join(references: DataFrame, outcomes: DataFrame) -> DataFrame:
     joined = references.join(outcomes, "id", "left")
     joined = joined.withColumn("state", F.coalesce("state", F.lit("missing")))
     joined = joined.withColumn("succeeded", F.col("state") == "succeeded")
-    joined = joined.withColumn("mismatches", mismatch_array())
-    return joined.withColumn("exact", F.col("succeeded") & (F.size("mismatches") == 0))
+    exact = F.col("succeeded")
+    for name in V.SCORED_FIELDS:
+        exact = exact & F.col(f"ref_{name}").eqNullSafe(F.col(name))
+    return joined.select("*", mismatch_array().alias("mismatches"), exact.alias("exact"))
 
 
 def mismatch_unnest(scored: DataFrame) -> DataFrame:

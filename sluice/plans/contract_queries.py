@@ -158,8 +158,7 @@ def check_provenance(spark, sf_dir):
 )
 def validated(spark, sf_dir):
     """Valid and quarantined rows, both kept."""
-    checked = validate_classifications(bind_spread(spark, sf_dir, "candidates"))
-    good, bad = C.split_valid(checked)
+    good, bad = validate_classifications(bind_spread(spark, sf_dir, "candidates"))
     kept = good.select("row_id", F.lit("").alias("violations"), F.lit(True).alias("valid"))
     return kept.unionByName(bad.select("row_id", listed(F.col("violations")).alias("violations"), F.lit(False).alias("valid")))
 

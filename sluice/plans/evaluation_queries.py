@@ -272,8 +272,8 @@ HEADERS_SQL = (
     " concat('in-', run_number % 4) AS inputs, concat('ex-', run_number % 3) AS execution FROM {run_results}"
 )
 CURRENT_SQL = (
-    "SELECT DISTINCT run_id, CASE WHEN run_number % 5 = 0 THEN 'v2' ELSE 'v1' END AS prompt_version, 'in-1' AS inputs,"
-    " CASE WHEN run_number % 7 = 0 THEN 'other' ELSE concat('ex-', run_number % 3) END AS execution FROM {run_results} WHERE run_number <> 13"
+    "SELECT DISTINCT CASE WHEN run_number = 13 THEN 'run-renamed' ELSE run_id END AS run_id, CASE WHEN run_number % 5 = 0 THEN 'v2' ELSE 'v1' END AS prompt_version, 'in-1' AS inputs,"
+    " CASE WHEN run_number % 7 = 0 THEN 'other' ELSE concat('ex-', run_number % 3) END AS execution FROM {run_results}"
 )
 
 
@@ -305,7 +305,7 @@ def resume_guard(spark, sf_dir):
         F.count("*").alias("item_count"),
         F.sum(F.xxhash64("position", "id").cast("decimal(38,0)")).alias("item_fingerprint"),
     )
-    current = spark.sql(CURRENT_SQL, run_results=results).join(digest, "run_id")
+    current = spark.sql(CURRENT_SQL, run_results=results).join(digest, "run_id", "left")
     return G.resume_guard(recorded, current).select("run_id", listed(F.col("reasons")).alias("reasons"))
 
 

@@ -8,7 +8,7 @@ from sluice import fixed_values as V
 from sluice.operators import corrections as K
 from sluice.operators import requests as R
 from sluice.operators.language import policy_scope
-from sluice.plans.bindings import ARRIVAL, bind, stored_requests
+from sluice.plans.bindings import ARRIVAL, bind, bind_spread, stored_requests
 from sluice.plans.catalog import query, stamp, stamp_sql
 from sluice.sources.store import decode_text_rows, encode_json, requests_scan, upsert_requests, write_version
 from sluice.sources.workspace import new_folder
@@ -192,7 +192,7 @@ def request_times(spark, sf_dir):
     submissions = bind(spark, sf_dir, "submissions").withColumnRenamed("l_shipdate", "arrival")
     done = bind(spark, sf_dir, "orders").where(F.col("o_orderstatus") == "F")
     events = done.select(F.concat(F.lit("r-"), "o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
-    times = R.request_times(submissions, events, bind(spark, sf_dir, "corrections"))
+    times = R.request_times(submissions, events, bind_spread(spark, sf_dir, "corrections"))
     return times.select(
         "id", *[stamp(F.col(f"{name}_at")).alias(name) for name in ("created", "classified", "corrected", "updated")]
     )
@@ -269,7 +269,7 @@ LAST_SQL = "SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS bac
     f"WITH RECURSIVE {FOLD_CTES} SELECT id, state, {EFFECTIVE_SQL}, accepted > 0 AS corrected FROM ({LAST_SQL}) WHERE back = 1",
 )
 def correction_fold(spark, sf_dir):
-    folded, _ = K.fold_corrections(stored(spark, sf_dir), bind(spark, sf_dir, "corrections"))
+    folded, _ = K.fold_corrections(stored(spark, sf_dir), bind_spread(spark, sf_dir, "corrections"))
     rows = folded.select(
         "id", "state", R.effective_classification().alias("e"), F.col("human_correction").isNotNull().alias("corrected")
     )
@@ -281,7 +281,7 @@ def correction_fold(spark, sf_dir):
     f"WITH RECURSIVE {FOLD_CTES} SELECT id, seq, reason FROM fold WHERE n > 0 AND reason <> ''",
 )
 def correction_rejects(spark, sf_dir):
-    _, rejected = K.fold_corrections(stored(spark, sf_dir), bind(spark, sf_dir, "corrections"))
+    _, rejected = K.fold_corrections(stored(spark, sf_dir), bind_spread(spark, sf_dir, "corrections"))
     return rejected.select("id", "seq", "reason")
 
 
@@ -291,7 +291,7 @@ def correction_rejects(spark, sf_dir):
     f" {DONE.format('prioridad')} AS effective_priority, {DONE.format('area_sugerida')} AS effective_area FROM ({LAST_SQL}) WHERE back = 1",
 )
 def effective_columns(spark, sf_dir):
-    folded, _ = K.fold_corrections(stored(spark, sf_dir), bind(spark, sf_dir, "corrections"))
+    folded, _ = K.fold_corrections(stored(spark, sf_dir), bind_spread(spark, sf_dir, "corrections"))
     return folded.select(*FLAT)
 
 

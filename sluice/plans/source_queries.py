@@ -31,35 +31,40 @@ def src_references(spark, sf_dir):
     return load_references(spark, path).select("id", "expected.*", "justification")
 
 
+RUN_ITEMS = ("succeeded", "failed", "pending")
+
+
 @query(
     "run_outcomes",
-    "SELECT concat('run-', key_number // 12) AS run_id, row_number() OVER (PARTITION BY key_number // 12 ORDER BY key_number) - 1 AS position,"
-    " id, outcome_state AS state, CASE WHEN outcome_state = 'succeeded' THEN categoria END AS categoria,"
-    " CASE WHEN outcome_state = 'succeeded' THEN 1 END AS attempt FROM {outcome_states}",
+    " UNION ALL ".join(
+        f"SELECT concat('run-', key_number) AS run_id, CAST({place} AS BIGINT) AS position, concat(id, '-{place}') AS id, '{state}' AS state,"
+        f" {'categoria' if state == 'succeeded' else 'CAST(NULL AS VARCHAR)'} AS categoria, {'1' if state == 'succeeded' else 'NULL'} AS attempt,"
+        f" {'failure_code' if state == 'failed' else 'NULL'} AS failure_category FROM {{requests}}"
+        for place, state in enumerate(RUN_ITEMS)
+    ),
 )
 def outcomes(spark, sf_dir):
-    """Snapshots of at most twelve items, written as documents and unnested."""
-    rows = bind(spark, sf_dir, "outcome_states")
-    done = F.col("outcome_state") == "succeeded"
+    """One snapshot document of three items per request, written and unnested. No grouping: each row is a run."""
     classification = F.struct(*V.CONTENT_FIELDS, "confianza", "id", F.lit("v1").alias("version_prompt"))
     metadata = F.struct(F.lit("model-a").alias("model"), F.lit(1).alias("attempt"), F.lit("v1").alias("prompt_version"))
-    outcome = F.struct(
-        "key_number", "id", F.col("outcome_state").alias("state"),
-        F.when(done, F.struct(classification.alias("classification"), metadata.alias("metadata"))).alias("result"),
-    )
-    # Keys are unique and a run is twelve consecutive keys: the list is bounded by construction.
-    runs = rows.groupBy(F.floor(F.col("key_number") / 12).alias("_run")).agg(
-        F.array_sort(F.collect_list(outcome)).alias("outcomes")
-    )
+    result = F.struct(classification.alias("classification"), metadata.alias("metadata"))
+    items = [
+        F.struct(
+            F.concat("id", F.lit(f"-{place}")).alias("id"), F.lit(state).alias("state"),
+            F.when(F.lit(state == "failed"), F.col("failure_code")).alias("failure_category"),
+            F.when(F.lit(state == "succeeded"), result).alias("result"),
+        )
+        for place, state in enumerate(RUN_ITEMS)
+    ]
     path = new_folder(spark, "runs")
-    runs.select(
-        F.lit(V.ARTIFACT_VERSION).alias("schema_version"), F.concat(F.lit("run-"), "_run").alias("run_id"),
-        F.lit("v1").alias("prompt_version"), "outcomes",
+    bind(spark, sf_dir, "requests").select(
+        F.lit(V.ARTIFACT_VERSION).alias("schema_version"), F.concat(F.lit("run-"), "key_number").alias("run_id"),
+        F.lit("v1").alias("prompt_version"), F.array(*items).alias("outcomes"),
     ).write.json(path)
     unnested = run_outcomes(load_runs(spark, path))
     return unnested.select(
         "run_id", F.col("position").cast("long").alias("position"), "id", "state", "result.classification.categoria",
-        "result.metadata.attempt",
+        "result.metadata.attempt", "failure_category",
     )
 
 

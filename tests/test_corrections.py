@@ -57,8 +57,8 @@ def _table(spark, rows):
     return spark.createDataFrame(data, f"id string, ts timestamp, seq long, {fields}")
 
 
-@pytest.mark.parametrize("chunk", ["day", "hour", "minute"])
-def test_fold_equals_one_by_one_with_a_hot_id(spark, chunk):
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_fold_equals_one_by_one_with_a_hot_id(spark, ranges):
     dice = random.Random(11)
     asking = {**BASE, "requiere_info": True, "pregunta_seguimiento": "¿Qué?"}
     starts = {"hot": ("completed", BASE), "a": ("completed", asking), "b": ("processing", BASE), "c": ("completed", BASE)}
@@ -74,7 +74,7 @@ def test_fold_equals_one_by_one_with_a_hot_id(spark, chunk):
         else:
             state[i] = merged
     requests = spark.createDataFrame([_request(i, s, c) for i, (s, c) in starts.items()], schemas.REQUEST)
-    folded, refused = K.fold_corrections(requests, _table(spark, rows), chunk)
+    folded, refused = K.fold_corrections(requests, _table(spark, rows), ranges)
     assert {row.seq for row in refused.collect()} == rejected
     assert 100 < len(rejected) < 800
     found = {row.id: row for row in folded.collect()}
