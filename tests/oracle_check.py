@@ -41,9 +41,12 @@ def compare(spark, connection, name, query, sql, sf_dir) -> tuple[str | None, in
     seconds = time.perf_counter() - started
     if sql is None:
         return None, len(found), seconds
+    checked = time.perf_counter()
     cursor = connection.execute(sql)
     names = [column[0] for column in cursor.description]
     expected = cursor.fetchall()
+    if time.perf_counter() - checked > 5:
+        print(f"     (checking SQL of {name}: {time.perf_counter() - checked:.1f}s)", flush=True)
     if sorted(names) != sorted(result.columns):
         return f"columns {sorted(result.columns)} != {sorted(names)}", len(found), seconds
     left, right = rows_of(result.columns, found), rows_of(names, expected)
