@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.money import COST, known_sum
+from sluice.sources.workspace import settle
 
 PAYLOAD = (
     "model", "prompt_version", "success", "input_tokens", "output_tokens", "cached_input_tokens",
@@ -156,8 +157,12 @@ def line_reasons(bad_lines: DataFrame) -> DataFrame:
 def account_usage(
     events: DataFrame, outcomes: DataFrame, bad_lines: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(per-run summary, reasons). ``occurrences`` says how often a reason applies to a message."""
-    matched = matched_attempts(distinct_attempts(events), outcomes)
+    """(per-run summary, reasons). ``occurrences`` says how often a reason applies to a message.
+
+    The distinct attempts are written down once: sums, sequences and event reasons all read them, the log is
+    read a single time.
+    """
+    matched = settle(matched_attempts(distinct_attempts(events), outcomes))
     sequence = sequences(matched)
     reasons = event_reasons(matched).unionByName(outcome_reasons(sequence, outcomes))
     if bad_lines is not None:

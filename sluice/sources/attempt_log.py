@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice.functions.json_shape import BOOLEAN, INTEGER, NUMBER, OBJECT, STRING, field_type, json_type, parse_strict
+from sluice.sources.workspace import settle
 
 RUN_OF_FILE = r"run_id=([^/]+)/"
 
@@ -56,19 +57,21 @@ def file_ends(lines: DataFrame) -> DataFrame:
     to hold a whole file.
     """
     return lines.groupBy("file").agg(
-        F.max("line").alias("_last"),
-        (F.sum(F.octet_length("text").cast("long") + 1) != F.max("file_size")).alias("_cut"),
+        F.max("line").alias("_last"), (F.sum(F.col("bytes") + 1) != F.max("file_size")).alias("_cut")
     )
 
 
 def read_attempt_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(good events, bad lines with reason ``truncated_final_event`` or ``invalid_event``)."""
-    lines = read_lines(spark, path)
-    parsed = parse_lines(lines)
-    events = parsed.where("is_event").drop("text", "file_size", "unparsable", "is_event")
+    """(good events, bad lines with reason ``truncated_final_event`` or ``invalid_event``).
+
+    The text is parsed in one pass into a typed table; events, bad lines and file ends read that table.
+    """
+    lines = read_lines(spark, path).withColumn("bytes", F.octet_length("text").cast("long"))
+    parsed = settle(parse_lines(lines).drop("text"))
+    events = parsed.where("is_event").drop("bytes", "file_size", "unparsable", "is_event")
     bad = parsed.where(~F.col("is_event")).select("run_id", "file", "line", "unparsable")
-    # Only unparsable lines are matched with their file's end, and only files that end without a newline count.
-    cut = file_ends(lines).where("_cut").select("file", F.col("_last").alias("line"), F.lit(True).alias("_final"))
+    # Only files that end without a newline take part in the join.
+    cut = file_ends(parsed).where("_cut").select("file", F.col("_last").alias("line"), F.lit(True).alias("_final"))
     reason = F.when(F.col("unparsable") & F.coalesce("_final", F.lit(False)), "truncated_final_event")
     bad = bad.join(cut, ["file", "line"], "left").select(
         "run_id", "file", "line", reason.otherwise("invalid_event").alias("reason")

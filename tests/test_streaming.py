@@ -1,4 +1,5 @@
 import json
+import os
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -14,7 +15,10 @@ from sluice import schemas
 
 def _arrive(folder, name, rows):
     folder.mkdir(exist_ok=True)
-    (folder / name).write_text("".join(json.dumps(row) + "\n" for row in rows), encoding="utf-8")
+    path = folder / name
+    path.write_text("".join(json.dumps(row) + "\n" for row in rows), encoding="utf-8")
+    # File streams go by modification time: files of one instant get their names' order.
+    os.utime(path, (1_700_000_000 + int(name[0]), 1_700_000_000 + int(name[0])))
 
 
 def test_intake_keeps_reservations_over_batches_and_restarts(spark, tmp_path):
