@@ -51,13 +51,13 @@ def _set_key(grams: np.ndarray) -> int:
     return int(mix(np.array([both.sum(), len(grams)], np.uint64) * np.uint64(3)).sum().astype(np.int64))
 
 
-def _width(size: int) -> int:
-    """Bits of a signature: at least two for each n-gram, a power of two."""
-    return max(64, 1 << int(2 * size - 1).bit_length())
+#: Bits for each n-gram of the signatures that travel, and of those that are made where the whole sets are.
+NARROW, WIDE = 1, 16
 
 
-def signature(grams: np.ndarray) -> np.ndarray:
-    bits = np.zeros(_width(len(grams)), bool)
+def signature(grams: np.ndarray, bits_each: int = NARROW) -> np.ndarray:
+    """A bitmap of at least ``bits_each`` bits for each n-gram, a power of two."""
+    bits = np.zeros(max(64, 1 << int(bits_each * len(grams) - 1).bit_length()), bool)
     bits[(grams & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
@@ -173,7 +173,7 @@ def _walk(exact: bool, percent: int):
                     overlap = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
                     return 100 * overlap >= percent * (len(grams[a]) + len(grams[b]) - overlap)
 
-                found = SignatureTree(sizes, [signature(g) for g in grams]).links(percent, accept)
+                found = SignatureTree(sizes, [signature(g, WIDE) for g in grams]).links(percent, accept)
             return [(keys[a], keys[b]) for a, b in found]
 
         def out(pairs):
@@ -218,11 +218,12 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         counted: dict[int, int] = {}
         total = held = 0
         for batch in batches:
-            ids, keys, sizes, grams_of = batch.column(0), [], [], []
+            ids, keys, sizes, grams_of, signs = batch.column(0), [], [], [], []
             for _, grams in _gram_sets(batch.column(1), width):
                 keys.append(_set_key(grams))
                 sizes.append(len(grams))
                 grams_of.append(grams)
+                signs.append(signature(grams).tobytes() if len(grams) else None)
             if sum(sizes):
                 # What is frequent in no batch cannot be frequent in a task; a table of hashed counts picks what to count.
                 together, least = np.concatenate(grams_of), max(2, len(keys) // COMMON_SHARE)
@@ -233,18 +234,18 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                     counted[value] = counted.get(value, 0) + n
             total += len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(keys), pa.int32()), ids.cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())],
-                ["kind", "doc_id", "set_key", "n"],
+                [pa.array([0] * len(keys), pa.int32()), ids.cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
+                ["kind", "doc_id", "set_key", "n", "signature"],
             )
         held = {k: n for k, n in counted.items() if n * COMMON_SHARE >= total}
         yield pa.RecordBatch.from_arrays(
-            [pa.array([1] * len(held), pa.int32()), pa.array([None] * len(held), pa.int64()), pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())],
-            ["kind", "doc_id", "set_key", "n"],
+            [pa.array([1] * len(held), pa.int32()), pa.array([None] * len(held), pa.int64()), pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64()), pa.nulls(len(held), pa.binary())],
+            ["kind", "doc_id", "set_key", "n", "signature"],
         )
 
     spark = docs.sparkSession
-    measured = settle(rows.mapInArrow(measure, "kind int, doc_id long, set_key long, n long"))
-    sets = measured.where("kind = 0").drop("kind")
+    measured = settle(rows.mapInArrow(measure, "kind int, doc_id long, set_key long, n long, signature binary"))
+    sets = measured.where("kind = 0").drop("kind", "signature")
     # One document in 256 at least holds each of these, so there are at most 256 times the mean set size of them.
     documents = sets.count()
     common = measured.where("kind = 1").groupBy(F.col("set_key").alias("gram")).agg(F.sum("n").alias("n"))
@@ -307,29 +308,27 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     # One document stands for each set.
     nodes = sets.groupBy("set_key", "n").agg(F.min("doc_id").alias("least_id"))
-    candidates = met.select("set_key").distinct().join(nodes, "set_key").select("least_id", F.col("set_key").alias("wanted"))
-    texts = rows.join(candidates, rows["doc_id"] == candidates["least_id"]).select("wanted", "text")
+    signed = measured.where("kind = 0").select("set_key", "n", F.col("signature").alias("data"))
+    signed = signed.join(met.select("set_key").distinct(), "set_key").groupBy("set_key", "n").agg(F.first("data").alias("data"))
+    drawn = _parts(met, "meeting", "set_key", "n").drop("n").join(settle(signed), "set_key")
+    coarse = components(_linked(drawn, False, percent))
+
+    # The texts of groups are read again for the exact walk, one for each set.
+    wanted = settle(coarse.join(nodes, coarse["node"] == nodes["set_key"]).select("least_id", F.col("set_key").alias("wanted"), "root", "n"))
+    texts = rows.join(wanted.select("least_id", "wanted"), rows["doc_id"] == F.col("least_id")).select("wanted", "text")
 
     def gram_sets(batches):
         for batch in batches:
-            wanted, keep = batch.column(0).to_pylist(), {"set_key": [], "n": [], "grams": [], "signature": []}
+            wanted, keys, data = batch.column(0).to_pylist(), [], []
             for row, grams in _gram_sets(batch.column(1), width):
                 if len(grams) and _set_key(grams) == wanted[row]:
-                    keep["set_key"].append(wanted[row])
-                    keep["n"].append(len(grams))
-                    keep["grams"].append(grams.tobytes())
-                    keep["signature"].append(signature(grams).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keep["set_key"], pa.int64()), pa.array(keep["n"], pa.int64()), pa.array(keep["grams"], pa.binary()), pa.array(keep["signature"], pa.binary())],
-                ["set_key", "n", "grams", "signature"],
-            )
+                    keys.append(wanted[row])
+                    data.append(grams.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["set_key", "data"])
 
-    whole = settle(texts.mapInArrow(gram_sets, "set_key long, n long, grams binary, signature binary"))
-    drawn = _parts(met, "meeting", "set_key", "n").drop("n").join(whole.select("set_key", "n", F.col("signature").alias("data")), "set_key")
-    coarse = components(_linked(drawn, False, percent))
-    gathered = whole.select("set_key", "n", F.col("grams").alias("data")).join(coarse, F.col("set_key") == F.col("node"))
-    links = _linked(_parts(gathered.select("root", "set_key", "n", "data"), "root", "set_key", "n"), True, percent)
-    classes = components(links)
+    whole = texts.mapInArrow(gram_sets, "set_key long, data binary")
+    gathered = _parts(wanted.select("root", F.col("wanted").alias("set_key"), "n"), "root", "set_key", "n").join(whole, "set_key")
+    classes = components(_linked(gathered, True, percent))
 
     labelled = nodes.join(classes, nodes["set_key"] == classes["node"], "left").select("set_key", "n", "least_id", "root")
     roots = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("root_id"))
