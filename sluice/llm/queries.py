@@ -6,18 +6,32 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.attention import language_scores
 from sluice.llm.chat import digests, format_conversations
 from sluice.llm.decontamination import benchmark_overlaps
+from sluice.llm.licenses import license_matches
 from sluice.llm.neighbours import nearest
 from sluice.llm.ngram_join import ngram_classes
 from sluice.llm.packing import pack_documents
+from sluice.llm.pii import pseudonymised
+from sluice.llm.quality import fit, scored
 from sluice.llm.suffixes import repeated_bytes
 
+#: Stands in for the caller's secret.
+DEMONSTRATION_KEY = "demonstration"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    judged = scored(docs.select("doc_id", "text"), fit(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return judged.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -37,6 +51,15 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonymised(docs, DEMONSTRATION_KEY, count_column="n_replaced")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_matches(_table(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_bytes(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -45,6 +68,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_classes(_table(spark, sf_dir, "documents"))
 
 
+def op10_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     name: function for name, function in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
