@@ -154,26 +154,30 @@ def _parts(rows: DataFrame, key: str, member: str, weight: str) -> DataFrame:
     return spread.where((F.col("_parts") == 1) | (F.col("_own") != F.col("_other"))).withColumn("task", task).drop("_own", "_other", "_parts", key)
 
 
-def _walk(exact: bool, percent: int):
+def _walk(width: int, percent: int):
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by task; a task's members are held together, one task at a time."""
 
         def links(members: list[tuple]) -> list[tuple[int, int]]:
-            sets = {key: (size, np.frombuffer(data, np.uint64)) for key, size, data in members}
-            keys = list(sets)
+            if not width:
+                sets = {key: (size, data) for key, size, data in members}
+                if len(sets) < 2:
+                    return []
+                keys, sizes = list(sets), np.array([size for size, _ in sets.values()], np.int64)
+                found = SignatureTree(sizes, [np.frombuffer(data, np.uint64) for _, data in sets.values()]).links(percent)
+                return [(keys[a], keys[b]) for a, b in found]
+            texts = pa.array([data for _, _, data in members], pa.binary())
+            # Another text may stand under the id that stands for a set.
+            whole = {members[row][0]: g for row, g in _gram_sets(texts, width) if len(g) and _set_key(g) == members[row][0]}
+            keys, grams = list(whole), list(whole.values())
             if len(keys) < 2:
                 return []
-            sizes = np.array([sets[k][0] for k in keys], np.int64)
-            if not exact:
-                found = SignatureTree(sizes, [sets[k][1] for k in keys]).links(percent)
-            else:
-                grams = [sets[k][1] for k in keys]
 
-                def accept(a: int, b: int) -> bool:
-                    overlap = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
-                    return 100 * overlap >= percent * (len(grams[a]) + len(grams[b]) - overlap)
+            def accept(a: int, b: int) -> bool:
+                overlap = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
+                return 100 * overlap >= percent * (len(grams[a]) + len(grams[b]) - overlap)
 
-                found = SignatureTree(sizes, [signature(g, WIDE) for g in grams]).links(percent, accept)
+            found = SignatureTree(np.array([len(g) for g in grams], np.int64), [signature(g, WIDE) for g in grams]).links(percent, accept)
             return [(keys[a], keys[b]) for a, b in found]
 
         def out(pairs):
@@ -196,10 +200,10 @@ def _walk(exact: bool, percent: int):
     return walk
 
 
-def _linked(members: DataFrame, exact: bool, percent: int) -> DataFrame:
-    """Edges from ``task, set_key, n, data`` rows."""
+def _linked(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Edges from ``task, set_key, n, data`` rows; ``data``: signatures (``width`` 0), or texts to compare exactly."""
     dealt = members.select("task", "set_key", "n", "data").repartition("task").sortWithinPartitions("task", "n", "set_key")
-    return dealt.mapInArrow(_walk(exact, percent), "u long, v long")
+    return dealt.mapInArrow(_walk(width, percent), "u long, v long")
 
 
 def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = 4, percent: int = 85) -> DataFrame:
@@ -311,24 +315,13 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     signed = measured.where("kind = 0").select("set_key", "n", F.col("signature").alias("data"))
     signed = signed.join(met.select("set_key").distinct(), "set_key").groupBy("set_key", "n").agg(F.first("data").alias("data"))
     drawn = _parts(met, "meeting", "set_key", "n").drop("n").join(settle(signed), "set_key")
-    coarse = components(_linked(drawn, False, percent))
+    coarse = components(_linked(drawn, 0, percent))
 
     # The texts of groups are read again for the exact walk, one for each set.
     wanted = settle(coarse.join(nodes, coarse["node"] == nodes["set_key"]).select("least_id", F.col("set_key").alias("wanted"), "root", "n"))
-    texts = rows.join(wanted.select("least_id", "wanted"), rows["doc_id"] == F.col("least_id")).select("wanted", "text")
-
-    def gram_sets(batches):
-        for batch in batches:
-            wanted, keys, data = batch.column(0).to_pylist(), [], []
-            for row, grams in _gram_sets(batch.column(1), width):
-                if len(grams) and _set_key(grams) == wanted[row]:
-                    keys.append(wanted[row])
-                    data.append(grams.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], ["set_key", "data"])
-
-    whole = texts.mapInArrow(gram_sets, "set_key long, data binary")
-    gathered = _parts(wanted.select("root", F.col("wanted").alias("set_key"), "n"), "root", "set_key", "n").join(whole, "set_key")
-    classes = components(_linked(gathered, True, percent))
+    dealt = _parts(wanted.select("root", F.col("wanted").alias("set_key"), "least_id", "n"), "root", "set_key", "n")
+    gathered = rows.join(dealt, rows["doc_id"] == F.col("least_id")).select("task", "set_key", "n", F.col("text").cast("binary").alias("data"))
+    classes = components(_linked(gathered, width, percent))
 
     labelled = nodes.join(classes, nodes["set_key"] == classes["node"], "left").select("set_key", "n", "least_id", "root")
     roots = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("root_id"))

@@ -9,6 +9,7 @@ tasks with the same rule, so that small tasks leave no loosely filled sequences.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -21,16 +22,25 @@ from pyspark.sql import functions as F
 from sluice.sources.workspace import settle
 
 CAPACITY, OPEN, END = 4096, 256, 1
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 1_000_000
 
 
 class WordTokens:
     """Token ids of texts, as little-endian 32-bit numbers.
 
     The vocabulary's rules never look across ASCII white space and drop it, so the ids of a text are those of its words,
-    and the words of a task are encoded once, up to a bound.
+    and a worker encodes the words that it meets once, up to a bound.
     """
 
+    _in_worker: dict[str, WordTokens] = {}
+
+    @classmethod
+    def of(cls, path: str) -> WordTokens:
+        """The worker's own, kept from task to task."""
+        if path not in cls._in_worker:
+            cls._in_worker[path] = cls(path)
+        return cls._in_worker[path]
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -43,15 +53,15 @@ class WordTokens:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
             pass
-        if len(self.known) > _WORDS_KEPT:
-            self.known = {}
-        new = list({w for w in words if w not in self.known})
+        fresh, new = {}, list({w for w in words if w not in self.known})
         for k in range(0, len(new), 100_000):
             some = new[k : k + 100_000]
             for word, coded in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                ids = coded.ids
-                self.known[word] = b"".join([i.to_bytes(4, "little") for i in ids])
-        return b"".join(map(self.known.__getitem__, words))
+                fresh[word] = struct.pack(f"<{len(coded.ids)}I", *coded.ids)
+        if len(self.known) + len(fresh) <= _WORDS_KEPT:
+            self.known.update(fresh)
+            return b"".join(map(self.known.__getitem__, words))
+        return b"".join([fresh.get(w) or self.known.get(w, b"") for w in words])
 
 
 class BestFit:
@@ -133,7 +143,7 @@ def pack_documents(
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
     def run(batches):
-        tokens, end = WordTokens(tokenizer_path), end_id.to_bytes(4, "little")
+        tokens, end = WordTokens.of(tokenizer_path), end_id.to_bytes(4, "little")
 
         def pieces():
             for batch in batches:
