@@ -141,6 +141,24 @@ class SignatureTree:
         return [(int(self.order[find(k)]), int(self.order[k])) for k in range(count) if find(k) != k]
 
 
+def tree_links(sizes: np.ndarray, signatures: list[np.ndarray], percent: int, accept=None) -> list[tuple[int, int]]:
+    """``SignatureTree.links`` with a tree for each signature width.
+
+    Sets that can link have the same width or neighbouring ones, so a tree also takes those of twice its width that are
+    not too large for its own; nothing is folded further.
+    """
+    widths, found = np.array([len(s) for s in signatures]), []
+    for width in np.unique(widths).tolist():
+        own = widths == width
+        near = (widths == 2 * width) & (percent * sizes <= 100 * sizes[own].max())
+        at = np.flatnonzero(own | near)
+        if len(at) > 1:
+            checked = (lambda a, b: accept(int(at[a]), int(at[b]))) if accept else None
+            links = SignatureTree(sizes[at], [signatures[k] for k in at]).links(percent, checked)
+            found += [(int(at[a]), int(at[b])) for a, b in links]
+    return found
+
+
 def _parts(rows: DataFrame, key: str, member: str, weight: str) -> DataFrame:
     """``rows`` with the task each one goes to: one for a group, or one for each pair of a large group's parts."""
     sized = rows.groupBy(key).agg(F.count("*").alias("_n"), F.sum(weight).alias("_w")).where(F.col("_n") > 1)
@@ -164,7 +182,7 @@ def _walk(width: int, percent: int):
                 if len(sets) < 2:
                     return []
                 keys, sizes = list(sets), np.array([size for size, _ in sets.values()], np.int64)
-                found = SignatureTree(sizes, [np.frombuffer(data, np.uint64) for _, data in sets.values()]).links(percent)
+                found = tree_links(sizes, [np.frombuffer(data, np.uint64) for _, data in sets.values()], percent)
                 return [(keys[a], keys[b]) for a, b in found]
             texts = pa.array([data for _, _, data in members], pa.binary())
             # Another text may stand under the id that stands for a set.
@@ -177,7 +195,7 @@ def _walk(width: int, percent: int):
                 overlap = len(np.intersect1d(grams[a], grams[b], assume_unique=True))
                 return 100 * overlap >= percent * (len(grams[a]) + len(grams[b]) - overlap)
 
-            found = SignatureTree(np.array([len(g) for g in grams], np.int64), [signature(g, WIDE) for g in grams]).links(percent, accept)
+            found = tree_links(np.array([len(g) for g in grams], np.int64), [signature(g, WIDE) for g in grams], percent, accept)
             return [(keys[a], keys[b]) for a, b in found]
 
         def out(pairs):
