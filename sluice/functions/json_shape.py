@@ -25,13 +25,13 @@ SUBMISSION_TYPES: Mapping[str, tuple[str, ...]] = {"id": STRING, "mensaje": STRI
 def parse_strict(text: Column) -> Column:
     """The one JSON value in the text as a variant; null for anything else, trailing characters included.
 
-    A lenient parser stops after the first value. Wrapped in brackets, the text must be a complete
-    one-element array.
+    A lenient parser stops after the first value. The text must be whole in two wrappers: a one-element array, and an
+    object with a member after it. A text that closes the one early breaks the other.
     """
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.when(
-        F.try_variant_get(wrapped, "$[1]", "variant").isNull(), F.try_variant_get(wrapped, "$[0]", "variant")
-    )
+    alone = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    followed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit(',"s":1}')))
+    whole = F.try_variant_get(alone, "$[1]", "variant").isNull() & (F.try_variant_get(followed, "$.s", "int") == 1)
+    return F.when(whole, F.try_variant_get(alone, "$[0]", "variant"))
 
 
 def json_type(value: Column) -> Column:

@@ -103,3 +103,11 @@ def test_delay_is_capped(spark):
 def test_words_are_split_at_any_whitespace(spark):
     rows = spark.createDataFrame([("a\tb\n c d e ",)], "t string")
     assert rows.select(word_count(F.col("t")).alias("n")).first().n == 5
+
+
+def test_a_text_that_closes_the_wrapper_is_not_json(spark):
+    texts = ['{"a":1}] x', '{"a":1}],["z"', "1],[2", '{"a":1}, "b":{"c":2}', '1}', '1,"s":1} x', '{"a":1} x', "1,2", "", " "]
+    good = ['{"a":1}', "null", "[1,2]", '"x"', " 7 "]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts + good)], "k int, t string")
+    read = rows.select("k", J.parse_strict(F.col("t")).isNull().alias("gone")).orderBy("k").collect()
+    assert [r.gone for r in read] == [True] * len(texts) + [False] * len(good)
