@@ -87,8 +87,8 @@ ORACLES = {
             FROM split),
         sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
         shared AS (SELECT g FROM grams GROUP BY g HAVING count(*) > 1),
-        some AS (SELECT doc_id, g FROM grams WHERE g IN (SELECT g FROM shared)),
-        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM some a JOIN some b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        often AS (SELECT doc_id, g FROM grams WHERE g IN (SELECT g FROM shared)),
+        pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM often a JOIN often b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
         links AS (
             SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
         both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
