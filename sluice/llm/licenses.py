@@ -52,7 +52,8 @@ def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND
     """(equal words, first, end, inserted words) of the best alignment of the template in the text near a diagonal.
 
     Template word i lies within ``band`` of text word i + shift. The equal words are as many as possible, and of such
-    alignments the one with the fewest text words between the first and the last equal one is taken.
+    alignments the one with the fewest text words between the first and the last equal one is taken, then the one that
+    begins nearest to the diagonal.
     """
     width = 2 * band + 1
     worst = (0, 0, -1, -1)
@@ -70,7 +71,7 @@ def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int = BAND
                 best = max(best, (equal + 1, first - at, first, at))
             new.append(best)
         row = new
-    equal, _, first, last = max(row)
+    equal, _, first, last = max(row, key=lambda r: (r[0], r[1], -abs(r[2] - shift)))
     return equal, first, last + 1, last + 1 - first - equal
 
 
