@@ -12,6 +12,7 @@ from sluice.functions.contract import classification_flags, conforms, split_vali
 from sluice.functions.json_shape import ANSWER_TYPES, parse_strict, shape_flags
 from sluice.functions.masking import mask_pii
 from sluice.operators.rubric import rubric_answer
+from sluice.sources.workspace import settle
 
 Scorer = Callable[[DataFrame], DataFrame]
 Policy = Callable[[DataFrame], DataFrame]
@@ -74,6 +75,7 @@ def classify(
     if policy is None:
         checked = checked.withColumn("summary_accepted", F.lit(True))
     else:
+        checked = settle(checked)  # the scorer runs once: the judged summary is the stored one
         checked = checked.join(policy(checked.select("id", "resumen")), "id", "left")
     category = failure_of(F.col("conforms"), F.col("summary_accepted"))
     checked = checked.withColumn("failure_category", category)

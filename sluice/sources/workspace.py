@@ -1,5 +1,6 @@
 """The shared folder for cut lineage and intermediate tables."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a session on one machine gets a temporary folder; on a cluster, whose executors would not
+    share it, that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("Name a folder that all executors share in spark.checkpoint.dir.")
     folder = tempfile.mkdtemp(prefix="sluice-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
