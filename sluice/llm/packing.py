@@ -9,6 +9,7 @@ tasks with the same rule, so that small tasks leave no loosely filled sequences.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -23,13 +24,15 @@ from sluice.sources.workspace import settle
 
 CAPACITY, OPEN, END = 4096, 256, 1
 _WORDS_KEPT = 1_000_000
+#: Punctuation (no apostrophe) between an ASCII letter or digit and white space: the rules cut before it.
+_TAIL = re.compile(rb"([a-z0-9])([!-&(-/:-@\[-`{-~]+)(?=\s|$)")
 
 
 class WordTokens:
     """Token ids of texts, as little-endian 32-bit numbers.
 
-    The vocabulary's rules never look across ASCII white space and drop it, so the ids of a text are those of its words,
-    and a worker encodes the words that it meets once, up to a bound.
+    The vocabulary's rules never look across ASCII white space and drop it, so the ids of a text are those of its words
+    (in lower case, which the rules ask for, and without the punctuation at their ends, which is a word of its own), and a worker encodes the words that it meets once, up to a bound.
     """
 
     _in_worker: dict[str, WordTokens] = {}
@@ -48,7 +51,10 @@ class WordTokens:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
     def __call__(self, text: str) -> bytes:
-        words = text.encode().split()
+        data = text.encode()
+        if b"<|" not in data:  # special tokens are read before letters are lowered
+            data = _TAIL.sub(rb"\1 \2", data.lower())
+        words = data.split()
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
