@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
+from sluice.functions.text import is_blank
 from sluice.operators.skew import HOT_ROWS, attach
+from sluice.sources.workspace import settle
 
 
 def content_of(classification: Column) -> Column:
@@ -100,7 +102,7 @@ def first_writer(submissions: DataFrame, order: list[str]) -> DataFrame:
     A partial aggregate: a hot ID is reduced to one row per task before the shuffle. ``order`` has to put
     any two submissions of an ID in order.
     """
-    first = F.min(F.struct(*order, "raw_message"))
+    first = F.min(F.struct(*order, *(() if "raw_message" in order else ("raw_message",))))
     return (
         submissions.groupBy("id")
         .agg(first.alias("_first"), F.count("*").alias("_rows"))
@@ -113,24 +115,31 @@ def intake(
 ) -> DataFrame:
     """Every submission with its outcome.
 
-    ``created``: reserves the ID. ``duplicate``: same ID, same exact text. ``conflict``: same ID, other text.
+    ``invalid``: null or blank ID or text; such rows reserve nothing. ``created``: reserves the ID, and is exactly one
+    row of an ID, also where a submission was delivered several times. ``duplicate``: same ID, same exact text. ``conflict``: same ID, other text.
     With ``stored`` (id, raw_message, state) a repeat of a stored request is told apart by its state:
     ``duplicate_completed``, ``in_progress``, ``failed_terminal``; stored IDs are never reserved again.
+    A stored ID that is given twice counts once, with the smallest (state, text).
     """
-    firsts = first_writer(submissions, order)
+    # Settled, so that the places that tell equal submissions apart stay the same in every later reading.
+    placed = settle(submissions.withColumn("_place", F.monotonically_increasing_id()))
+    unfit = [F.col(name).isNull() | is_blank(F.col(name)) for name in ("id", "raw_message")]
+    valid = ~(unfit[0] | unfit[1])
+    order = [*order, "raw_message", "_place"]
+    firsts = first_writer(placed.where(valid), order)
     if stored is None:
         firsts = firsts.withColumn("_stored_message", F.lit(None).cast("string"))
         firsts = firsts.withColumn("_state", F.lit(None).cast("string"))
     else:
-        known = stored.select(
-            "id", F.col("raw_message").alias("_stored_message"), F.col("state").alias("_state")
-        )
+        known = stored.groupBy("id").agg(F.min(F.struct("state", "raw_message")).alias("_known"))
+        known = known.select("id", F.col("_known.raw_message").alias("_stored_message"), F.col("_known.state").alias("_state"))
         firsts = firsts.join(known, "id", "left")
-    rows = attach(submissions, firsts, ["id"], order, hot_rows=hot_rows)
+    rows = attach(placed, firsts, ["id"], order, hot_rows=hot_rows)
     owner = F.coalesce("_stored_message", "first_message")
-    is_first = F.struct(*order, "raw_message") == F.col("_first")
+    is_first = F.col("_place") == F.col("_first._place")
     outcome = (
-        F.when(F.col("raw_message") != owner, "conflict")
+        F.when(~valid, "invalid")
+        .when(F.col("raw_message") != owner, "conflict")
         .when(F.col("_state") == "completed", "duplicate_completed")
         .when(F.col("_state") == "processing", "in_progress")
         .when(F.col("_state") == "failed", "failed_terminal")

@@ -109,6 +109,10 @@ def page_after(spark, sf_dir):
     )
 
 
+OWNED_SQL = (
+    f"SELECT *, row_number() OVER w AS rn, first_value(raw_message) OVER w AS owner FROM {{submissions}}"
+    f" WINDOW w AS (PARTITION BY id ORDER BY {ORDER}, raw_message)"
+)
 FIRST_SQL = f"SELECT *, row_number() OVER (PARTITION BY id ORDER BY {ORDER}, raw_message) AS rn FROM {{submissions}}"
 
 
@@ -120,9 +124,9 @@ def first_writer(spark, sf_dir):
 
 @query(
     "intake_outcomes",
-    f"WITH f AS ({FIRST_SQL}), o AS (SELECT id, raw_message AS owner FROM f WHERE rn = 1)"
+    f"WITH f AS ({OWNED_SQL})"
     f" SELECT id, raw_message, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {stamp_sql('l_shipdate')} AS arrived,"
-    " CASE WHEN raw_message <> owner THEN 'conflict' WHEN rn = 1 THEN 'created' ELSE 'duplicate' END AS outcome FROM f JOIN o USING (id)",
+    " CASE WHEN raw_message <> owner THEN 'conflict' WHEN rn = 1 THEN 'created' ELSE 'duplicate' END AS outcome FROM f",
 )
 def intake_outcomes(spark, sf_dir):
     return R.intake(bind(spark, sf_dir, "submissions"), list(ARRIVAL)).select(
@@ -139,12 +143,11 @@ STORED_SQL = (
 
 @query(
     "intake_route",
-    f"WITH f AS ({FIRST_SQL}), s AS (SELECT id, state, raw_message AS stored_message FROM ({STORED_SQL})),"
-    " o AS (SELECT f.id, coalesce(stored_message, raw_message) AS owner, state FROM f LEFT JOIN s USING (id) WHERE rn = 1)"
+    f"WITH f AS ({OWNED_SQL}), s AS (SELECT id, state, raw_message AS stored_message FROM ({STORED_SQL}))"
     " SELECT f.id, raw_message, l_linenumber, l_partkey, l_suppkey, l_extendedprice,"
-    " CASE WHEN raw_message <> owner THEN 'conflict' WHEN state = 'completed' THEN 'duplicate_completed'"
+    " CASE WHEN raw_message <> coalesce(stored_message, owner) THEN 'conflict' WHEN state = 'completed' THEN 'duplicate_completed'"
     " WHEN state = 'processing' THEN 'in_progress' WHEN state = 'failed' THEN 'failed_terminal'"
-    " WHEN rn = 1 THEN 'created' ELSE 'duplicate' END AS outcome FROM f JOIN o ON f.id = o.id",
+    " WHEN rn = 1 THEN 'created' ELSE 'duplicate' END AS outcome FROM f LEFT JOIN s ON f.id = s.id",
 )
 def intake_route(spark, sf_dir):
     known = spark.sql(STORED_SQL, requests=bind(spark, sf_dir, "requests"))

@@ -80,6 +80,17 @@ def test_intake_with_a_hot_id_equals_one_by_one(spark, hot_rows):
     assert len(found) == 400 and len(set(expected.values())) == 6
 
 
+def test_intake_of_repeated_blank_and_twice_stored_rows(spark):
+    rows = [("a", "x", 1), ("a", "x", 1), ("a", "y", 1), (None, "x", 1), ("b", None, 1), ("b", "z", 2), ("b", "z", 2), (" ", "x", 1), ("s", "q", 1)]
+    submissions = spark.createDataFrame(rows, "id string, raw_message string, arrival int")
+    known = spark.createDataFrame([("s", "q", "completed")] * 2, "id string, raw_message string, state string")
+    found = sorted((r.id or "", r.raw_message or "", r.outcome) for r in R.intake(submissions, ["arrival"], known).collect())
+    assert found == sorted([
+        ("a", "x", "created"), ("a", "x", "duplicate"), ("a", "y", "conflict"), ("", "x", "invalid"), ("b", "", "invalid"),
+        ("b", "z", "created"), ("b", "z", "duplicate"), (" ", "x", "invalid"), ("s", "q", "duplicate_completed"),
+    ])
+
+
 def test_hot_keys_are_spread_over_salts(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 900, 0).otherwise(F.col("id")).alias("k"), "id")
     keys = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
