@@ -9,6 +9,7 @@ hit's diagonal, so that substituted words are tolerated wherever they stand.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from sluice.llm.bytes_words import mix, pieces, utf8, words
 from sluice.sources.workspace import settle
 
-#: 1: the word counts, 0: it may differ. Any two of six neighbouring words may be wrong under one of the masks.
-MASKS = ("111111", "11011011", "110100110011", "101011100101")
+#: 1: the word counts, 0: it may differ. Every stretch of 12 words or more of which 75 % are equal holds one of these whole
+#: (enumerated in the tests for 12 to 23 words, of which all longer stretches are made up).
+MASKS = ("11001011", "110111", "11010000101", "1101000101")
+WHOLE_BELOW = 12
 BLOCK_WORDS = 2_000_000
 _FILTER_BITS = 22
 _PUNCTUATION = np.zeros(256, bool)
@@ -47,6 +50,21 @@ def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return numbers, before
 
 
+def whole_masks(length: int, share: float) -> list[str]:
+    """Masks as long as an item of fewer than ``WHOLE_BELOW`` words: one stays whole wherever ``1 - share`` of them differ.
+
+    The words are cut into two blocks more than words may differ, and each mask holds two of the blocks.
+    """
+    wrong = int(length * (1 - share) + 1e-9)
+    if not wrong:
+        return ["1" * length]
+    blocks = np.array_split(np.arange(length), min(length, wrong + 2))
+    keep = 2 if len(blocks) == wrong + 2 else 1
+    if len(blocks) <= wrong:
+        return ["0" * length]
+    return ["".join("1" if any(k in b for b in held) else "0" for k in range(length)) for held in combinations(blocks, keep)]
+
+
 def seed_hashes(numbers: np.ndarray, mask: str) -> np.ndarray:
     """The hash of the mask's words at each place where the whole mask fits."""
     count = len(numbers) - len(mask) + 1
@@ -63,12 +81,12 @@ def seed_hashes(numbers: np.ndarray, mask: str) -> np.ndarray:
 class Items:
     """The seeds of a bounded block of test items."""
 
-    def __init__(self, ids: list, numbers: list[np.ndarray], masks: tuple[str, ...]):
+    def __init__(self, ids: list, numbers: list[np.ndarray], masks: tuple[str, ...], share: float):
         self.ids, self.numbers = ids, numbers
         self.tables = []
-        for mask in [*masks, *sorted({"1" * len(n) for n in numbers if 0 < len(n) < len(masks[0])})]:
-            whole = len(mask) < len(masks[0])  # an item shorter than the first mask is its own seed
-            chosen = [k for k, n in enumerate(numbers) if (len(n) == len(mask) if whole else len(n) >= len(masks[0]))]
+        short = sorted({len(n) for n in numbers if 0 < len(n) < WHOLE_BELOW})
+        for mask, length in [*((m, 0) for m in masks), *((m, n) for n in short for m in whole_masks(n, share))]:
+            chosen = [k for k, n in enumerate(numbers) if (len(n) == length if length else len(n) >= WHOLE_BELOW)]
             hashes = [seed_hashes(numbers[k], mask) for k in chosen]
             if not sum(map(len, hashes)):
                 continue
@@ -133,7 +151,7 @@ def benchmark_overlaps(
 
     Words are compared in lower case (A-Z) without ASCII punctuation at their ends (up to four marks). An overlap is a
     stretch of at least ``least_words`` words (or the whole of a shorter item) of which at least ``share`` are equal,
-    at equal distances, holding a hit of one of ``masks``. ``coverage``: equal words by the item's words. Null or empty
+    at equal distances; with the given ``masks`` none from 12 words and 75 % on is missed. ``coverage``: equal words by the item's words. Null or empty
     texts and items overlap with nothing; rows with a null id count, as do repeated rows, each with rows of its own;
     repeated items give repeated rows. Other columns are not read. Empty tables give an empty table.
     """
@@ -147,7 +165,7 @@ def benchmark_overlaps(
         held = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         data, offsets = utf8(pa.array([row["text"] for row in held], pa.string()))
         numbers, before = plain_words(data, offsets)
-        ready = Items([row["item_id"] for row in held], [numbers[a:b] for a, b in zip(before[:-1], before[1:])], masks)
+        ready = Items([row["item_id"] for row in held], [numbers[a:b] for a, b in zip(before[:-1], before[1:])], masks, share)
         shared = docs.sparkSession.sparkContext.broadcast(ready)
 
         def scan(batches, shared=shared):

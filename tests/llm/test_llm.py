@@ -1,6 +1,7 @@
 """Each operator against a one-by-one version on small rows, with nulls, empty and long texts, ties and repeated rows."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -174,6 +175,56 @@ def test_benchmark_overlaps_tolerate_substitutions(spark, none):
     assert benchmark_overlaps(none, bench).count() == 0 and benchmark_overlaps(docs, bench.limit(0)).count() == 0
 
 
+def test_masks_are_hit_wherever_a_quarter_differs():
+    from sluice.llm.decontamination import MASKS, WHOLE_BELOW, whole_masks
+
+    def held(equal, mask, places):
+        return any(all(equal[p + k] for k, bit in enumerate(mask) if bit == "1") for p in places)
+
+    # The most equal words without a mask, by dynamic programming over the last eleven words. From 24 words on, a stretch
+    # falls into stretches of 12 to 23 words, one of which has at least the same share.
+    widest = max(map(len, MASKS))
+    states = np.arange(1 << (widest - 1))
+    most = np.where(states == 0, 0, -1000)
+    for length in range(1, 24):
+        new = np.full(len(states), -1000)
+        for bit in (0, 1):
+            word = (states << 1) | bit
+            free = np.all([(word & int(m, 2)) != int(m, 2) for m in MASKS], axis=0)
+            np.maximum.at(new, (word & (len(states) - 1))[free], (most + bit)[free])
+        most = new
+        assert length < 12 or most.max() < 0.75 * length
+    for length in range(1, WHOLE_BELOW):
+        for wrong in itertools.combinations(range(length), length // 4):
+            assert any(held([k not in wrong for k in range(length)], m, [0]) for m in whole_masks(length, 0.75))
+
+
+def test_benchmark_overlaps_are_those_of_all_diagonals(spark):
+    rng, rows = np.random.default_rng(8), []
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 16, 30])]
+    for item in items:
+        for _ in range(25):
+            text = list(item)
+            for k in rng.choice(len(text), rng.integers(0, len(text) // 3 + 1), replace=False):
+                text[k] = "zz"
+            begin = rng.integers(0, max(1, len(text) - 13))
+            rows.append(["p"] * rng.integers(0, 5) + text[begin:] + ["q"] * rng.integers(0, 5))
+        rows.append(["zz" if k % 4 == 3 else w for k, w in enumerate(item)])
+    rows += [rng.choice([w for item in items[-3:] for w in item], 40).tolist() for _ in range(30)]
+    expected = {}
+    for d, text in enumerate(rows):
+        for i, item in enumerate(items):
+            for shift in range(-len(item), len(text)):
+                equal = [text[shift + k] == w for k, w in enumerate(item) if 0 <= shift + k < len(text)]
+                ends = [(b - a, sum(equal[a:b])) for a in range(len(equal)) for b in range(a + min(12, len(item)), len(equal) + 1)]
+                longest = max([(n, -k, s) for k, (n, s) in enumerate(ends) if 4 * s >= 3 * n], default=None)
+                if longest:
+                    expected[d, i] = max(expected.get((d, i), 0), longest[2])
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.n_equal for r in benchmark_overlaps(docs, bench).collect()} == expected
+
+
 def test_licenses(spark, none):
     texts = ["x y\nLicensed under the Apache License, Version 2.0.\nz", "licensed under the very Apache license version 2.0", None, "", "the license of the version", "RELEASED UNDER THE MIT LICENSE!! " * 2]
     found = license_matches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
