@@ -27,7 +27,12 @@ PHONE = (
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
 SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
-CARD = r"(?<![A-Za-z0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"
+#: All neighbouring digit groups, of 13 digits or more, as far as no other value begins; the cards are found among the groups.
+CARD = (
+    r"(?<![A-Za-z0-9.-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])"
+    rf"(?:[ -](?!{'|'.join((EMAIL, IPV4, PHONE, DATE, SSN))})[0-9]++(?![A-Za-z]))*+"
+)
+_CARD_DIGITS = (13, 19)
 #: Longer readings first where two begin at one place.
 PATTERN = "|".join((EMAIL, SECRET, IPV4, PHONE, DATE, SSN, CARD))
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -123,16 +128,64 @@ def _laid_out(pattern: Column, digits: Column) -> Column:
     return F.aggregate(F.split(pattern, ""), start, put)["text"]
 
 
+def _valid_card(digits: Column) -> Column:
+    sized = F.length(digits).between(*_CARD_DIGITS) & digits.rlike("[1-9]")
+    payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
+    return F.when(sized, _check_digit(payload) == F.substr(digits, F.length(digits)).cast("int")).otherwise(False)
+
+
 def _card(value: Column, key: str) -> Column:
+    """The pseudonym of one valid card."""
+
     def changed(digits: Column) -> Column:
         payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
-        valid = _check_digit(payload) == F.substr(digits, F.length(digits)).cast("int")
-        new = _let(feistel_text(payload, key, "card"), lambda p: F.concat(p, _check_digit(p).cast("string")))
-        return F.when(valid & digits.rlike("[1-9]"), _laid_out(value, new)).otherwise(value)
+        return _laid_out(value, _let(feistel_text(payload, key, "card"), lambda p: F.concat(p, _check_digit(p).cast("string"))))
 
     return _let(_digits(value), changed)
 
 
+def _cards(value: Column, key: str) -> Column:
+    """``text, count``: digit groups with the pseudonyms of the valid cards among them.
+
+    From left to right, the longest valid card that begins at a group and ends at one. An unusual grouping is passed over
+    where a valid card of a usual one (4-4-4-4, 4-6-5 or a single group) begins inside it.
+    """
+
+    def among(groups: Column) -> Column:
+        def joined(first: Column, count: Column) -> Column:
+            return F.array_join(F.slice(groups, first, count), "")
+
+        def readings(first: Column) -> Column:
+            counts = F.sequence(F.lit(1), F.least(F.lit(_CARD_DIGITS[1]), F.size(groups) - first + 1))
+            return F.filter(counts, lambda n: _valid_card(_digits(joined(first, n))))
+
+        def usual(first: Column, count: Column) -> Column:
+            return joined(first, count).rlike("^(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})[ -]?$")
+
+        def chosen(found: Column) -> Column:
+            def step(out: Column, first: Column) -> Column:
+                def clear(n: Column) -> Column:
+                    later = F.filter(F.sequence(first, first + n - 1), lambda k: k > first)
+                    return usual(first, n) | ~F.exists(later, lambda k: F.exists(F.element_at(found, k), lambda m: usual(k, m)))
+
+                def put(count: Column) -> Column:
+                    card = joined(first, F.coalesce(count, F.lit(1)))
+                    return F.struct(
+                        F.concat(out["text"], F.when(count.isNotNull(), _card(card, key)).otherwise(card)).alias("text"),
+                        (out["count"] + F.when(count.isNotNull(), 1).otherwise(0)).alias("count"),
+                        (first + F.coalesce(count, F.lit(1))).alias("next"),
+                    )
+
+                return F.when(first < out["next"], out).otherwise(_let(F.array_max(F.filter(F.element_at(found, first), clear)), put))
+
+            start = F.struct(F.lit("").alias("text"), F.lit(0).alias("count"), F.lit(1).alias("next"))
+            return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)
+
+        return _let(F.transform(F.sequence(F.lit(1), F.size(groups)), readings), chosen)
+
+    return _let(F.regexp_extract_all(value, F.lit("[0-9]+[ -]?"), F.lit(0)), among)
+
+
 def _ipv4(value: Column, key: str) -> Column:
     part = F.transform(F.split(value, r"\."), lambda x: x.cast("long"))
 
@@ -172,14 +225,26 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(feistel_text(F.substr(value, F.lit(1), F.length(value) - F.length(kept)), key, "email"), kept)
 
 
-def pseudonym(value: Column, key: str) -> Column:
-    """The pseudonym of one match of ``PATTERN``; an invalid value stays."""
+def _replaced(value: Column, key: str) -> Column:
+    """``text, count``: one match of ``PATTERN`` with its pseudonyms, and how many values they stand for."""
     whole = [(SECRET, feistel_text(value, key, "secret", 6)), (IPV4, _ipv4(value, key)), (SSN, _laid_out(value, feistel_text(_digits(value), key, "ssn"))),
-             (PHONE, _phone(value, key)), (DATE, _date(value, key)), (CARD, _card(value, key))]
-    out = value
+             (PHONE, _phone(value, key)), (DATE, _date(value, key))]
+    out = F.lit(None).cast("string")
     for pattern, new in reversed(whole):
         out = F.when(value.rlike(f"^(?:{pattern})$"), new).otherwise(out)
-    return F.when(value.contains("@"), _email(value, key)).otherwise(out)
+    out = F.when(value.contains("@"), _email(value, key)).otherwise(out)
+
+    def counted(new: Column) -> Column:
+        one = F.struct(new.alias("text"), (new != value).cast("int").alias("count"))
+        cards = _cards(value, key)
+        return F.when(new.isNotNull(), one).otherwise(F.struct(cards["text"].alias("text"), cards["count"].alias("count")))
+
+    return _let(out, counted)
+
+
+def pseudonym(value: Column, key: str) -> Column:
+    """The pseudonym of one match of ``PATTERN``; an invalid value stays."""
+    return _replaced(value, key)["text"]
 
 
 def pseudonymised(docs: DataFrame, key: str, text_column: str = "text", count_column: str | None = None) -> DataFrame:
@@ -190,13 +255,13 @@ def pseudonymised(docs: DataFrame, key: str, text_column: str = "text", count_co
     """
     text = F.col(text_column)
     found, gaps = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.split(text, PATTERN, -1)
-    new = F.transform(found, lambda value: pseudonym(value, key))
+    new = F.transform(found, lambda value: _replaced(value, key))
 
     def rebuilt(parts: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), F.size(parts["new"])), lambda k: F.concat(F.get(parts["gaps"], k), F.coalesce(F.get(parts["new"], k), F.lit(""))))
-        return F.struct(F.array_join(pieces, "").alias("text"), F.size(F.filter(F.arrays_zip(parts["found"].alias("a"), parts["new"].alias("b")), lambda x: x["a"] != x["b"])).alias("count"))
+        pieces = F.transform(F.sequence(F.lit(0), F.size(parts["new"])), lambda k: F.concat(F.get(parts["gaps"], k), F.coalesce(F.get(parts["new"], k)["text"], F.lit(""))))
+        return F.struct(F.array_join(pieces, "").alias("text"), F.aggregate(parts["new"], F.lit(0), lambda n, x: n + x["count"]).alias("count"))
 
-    searched = F.when(text.rlike("[0-9@]"), _let(F.struct(found.alias("found"), gaps.alias("gaps"), new.alias("new")), rebuilt))
+    searched = F.when(text.rlike("[0-9@]"), _let(F.struct(gaps.alias("gaps"), new.alias("new")), rebuilt))
     marked = docs.withColumn("_searched", searched)
     columns = [F.coalesce(F.col("_searched.text"), text).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
     if count_column:

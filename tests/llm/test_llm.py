@@ -252,6 +252,19 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert other != out[7].text
 
 
+def test_cards_beside_other_digits(spark):
+    card, bare, amex, long = "4111 1111 1111 1111", "4111111111111111", "3782-822463-10005", "4111 1111 1111 1111 110"
+    texts = [f"{card} 12/25", f"{bare} 123", f"{amex} 1234", f"2 {card} 7", f"123456 {card}", f"{card} {card}", f"{card} 12/25/2024", f"{card} 10.0.0.1", f"{card} 1.b@mail.org", f"{card} 3rd", long, f"{bare}-12", "4111 1111 1111 1112 12/25", "1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8 9 1 2 3 x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.pseudonymised(rows, "key", count_column="n").collect()}
+    alone = pii.pseudonymised(spark.createDataFrame([(0, card), (1, bare), (2, amex)], "doc_id long, text string"), "key").orderBy("doc_id").collect()
+    new_card, new_bare, new_amex = (r.text for r in alone)
+    assert [out[k].text for k in (0, 1, 2, 3, 4, 5, 9, 11)] == [f"{new_card} 12/25", f"{new_bare} 123", f"{new_amex} 1234", f"2 {new_card} 7", f"123456 {new_card}", f"{new_card} {new_card}", f"{new_card} 3rd", f"{new_bare}-12"]
+    assert [out[k].n for k in range(13)] == [1, 1, 1, 1, 1, 2, 2, 2, 2, 1, 1, 1, 0]
+    assert all(out[k].text.startswith(new_card + " ") and texts[k].split()[-1] not in out[k].text for k in (6, 7, 8))
+    assert _luhn(out[10].text.replace(" ", "")) == _luhn(long.replace(" ", "")) and out[12].text == texts[12]
+
+
 def test_feistel_is_a_permutation(spark):
     numbers = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("t"))
     assert numbers.select(pii.feistel_text(F.col("t"), "k", "x").alias("p")).distinct().count() == 1000
