@@ -301,6 +301,20 @@ def test_language_scores(docs, none):
     assert language_scores(none, TOKENIZER).count() == 0
 
 
+def test_every_training_text_reaches_the_score(spark):
+    held = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 5 == 1)
+    said = ["the old harbour light", "seven green bottles fall", "a quiet winter morning"]
+    train = [k for k in range(30) if zlib.crc32(str(k).encode()) % 5 != 1][: len(said)]
+
+    def scores(left_out):
+        rows = [(k, t if n != left_out else "") for n, (k, t) in enumerate(zip(train, said))] + [(held, said[left_out])]
+        return next(r.score for r in language_scores(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER).collect() if r.held_out)
+
+    whole = spark.createDataFrame([*zip(train, said), *((k, t) for k, t in zip([k for k in range(100, 300) if zlib.crc32(str(k).encode()) % 5 == 1], said))], "doc_id long, text string")
+    with_all = [r.score for r in language_scores(whole, TOKENIZER).orderBy("doc_id").collect() if r.held_out]
+    assert all(scores(n) < with_all[n] for n in range(len(said)))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {r.doc_id for r in docs.collect()}
