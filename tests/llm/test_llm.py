@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sluice.llm import chat, pii
+from sluice.llm import attention, chat, pii
 from sluice.llm.attention import language_scores
 from sluice.llm.components import components
 from sluice.llm.decontamination import benchmark_overlaps
@@ -315,6 +315,22 @@ def test_every_training_text_reaches_the_score(spark):
     assert all(scores(n) < with_all[n] for n in range(len(said)))
 
 
+def test_windows_see_half_a_window_back_at_least():
+    at, inside = attention.windows(np.array([0, 300, 310]))
+    scored = [p for row, live in zip(at[:, attention.CONTEXT :], inside[:, attention.CONTEXT :]) for p in row[live]]
+    assert sorted(scored) == list(range(310))
+    for row, live in zip(at, inside):
+        for p in row[attention.CONTEXT :][live[attention.CONTEXT :]]:
+            begin = 0 if p < 300 else 300
+            assert sum(live & (row <= p)) >= min(64, p - begin) + 1
+
+
+def test_held_out_texts_beat_the_base(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    held = language_scores(docs, TOKENIZER).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     kept = {r.doc_id for r in docs.collect()}
