@@ -15,6 +15,7 @@ from sluice.llm.ngram_join import ngram_classes
 from sluice.llm.packing import pack_documents
 from sluice.llm.pii import pseudonymised
 from sluice.llm.quality import fit, scored
+from sluice.llm.runs import periodic_runs, planted, run_digests
 from sluice.llm.suffixes import repeated_bytes
 
 #: Stands in for the caller's secret.
@@ -72,6 +73,10 @@ def op10_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(planted(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     name: function for name, function in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
