@@ -17,6 +17,8 @@ from sluice.llm.pii import pseudonymised
 from sluice.llm.quality import fit, scored
 from sluice.llm.runs import periodic_runs, planted, run_digests
 from sluice.llm.suffixes import repeated_bytes
+from sluice.llm.toxicity import fit as fit_toxicity
+from sluice.llm.toxicity import tagged
 
 #: Stands in for the caller's secret.
 DEMONSTRATION_KEY = "demonstration"
@@ -77,6 +79,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(_table(spark, sf_dir, "documents"))))
 
 
+def op13_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = tagged(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 QUERIES = {
     name: function for name, function in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
