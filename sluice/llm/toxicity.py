@@ -19,11 +19,11 @@ from pyspark.sql import functions as F
 
 from sluice.llm.bytes_words import _numbers, mix, pieces, utf8, words
 
-SAMPLE_ROWS, SAMPLE_BYTES, MOST_FEATURES = 20_000, 16_000_000, 20_000
+SAMPLE_ROWS, SAMPLE_BYTES, MOST_FEATURES = 20_000, 10_000_000, 20_000
 PREFIXES, SUFFIX = (3, 4, 5, 6, 8), 4
 NEAR = 3
 _BLOCK = 64
-_BATCH_BYTES = 1 << 21
+_BATCH_BYTES, _SLICE_BYTES = 1 << 21, 1 << 20
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -170,16 +170,38 @@ def _contexts(features: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def _context_counts(features: np.ndarray, context: np.ndarray, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(feature, in how many different contexts), for all features or those of the sorted ``keys``."""
-    parts = []
-    for column in features.T:
-        held = column != 0 if keys is None else keys[np.minimum(np.searchsorted(keys, column), len(keys) - 1)] == column
-        key = column[held]
-        pair = mix(key * np.uint64(5) + context[held])  # 64 bits for at most some ten million pairs
-        _, place = np.unique(pair, return_index=True)
-        parts.append(key[place])
-    return np.unique(np.concatenate(parts), return_counts=True)
+def _slices(texts: pa.Array):
+    """Features of about a megabyte of texts at a time: (first text, features, text of each word, words before each text)."""
+    data, offsets = utf8(texts)
+    for low, high in pieces(offsets, _SLICE_BYTES):
+        features, _, _, before = token_features(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        yield low, features, np.repeat(np.arange(low, high), np.diff(before)), before
+
+
+def _context_counts(texts: pa.Array, keys: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """(feature, in how many different contexts) for all features or those of the sorted ``keys``, and the number of words."""
+    kinds, size = [[] for _ in range(len(PREFIXES) + 2)], 0
+    for _, features, doc, _ in _slices(texts):
+        size += len(doc)
+        context = _contexts(features, doc)
+        for column, kind in zip(features.T, kinds):
+            held = column != 0 if keys is None else keys[np.minimum(np.searchsorted(keys, column), len(keys) - 1)] == column
+            key = column[held]
+            pair = mix(key * np.uint64(5) + context[held])  # 64 bits for at most some ten million pairs
+            _, place = np.unique(pair, return_index=True)
+            kind.append((pair[place], key[place]))
+    found = []
+    for kind in kinds:
+        if kind:
+            pair, key = (np.concatenate(part) for part in zip(*kind))
+            kind.clear()
+            _, place = np.unique(pair, return_index=True)
+            found.append(np.unique(key[place], return_counts=True))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+    key, count = (np.concatenate(part) for part in zip(*found))
+    order = np.argsort(key)  # features of different kinds are different numbers
+    return key[order], count[order], size
 
 
 def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0, most_features: int = MOST_FEATURES, rounds: int = 2) -> ToxicityModel:
@@ -187,28 +209,22 @@ def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0, most_fe
 
     Every third text only calibrates the document scores, on which neither features nor the field were chosen.
     """
-    data, offsets = utf8(texts)
-    features, _, _, before = token_features(data, offsets)
-    doc = np.repeat(np.arange(len(toxic)), np.diff(before))
     calibrates = np.arange(len(toxic)) % 3 == 2
-    learns = (~calibrates & toxic)[doc]
-    empty = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -8.0, np.zeros((2, 2)), np.zeros(4))
-    positive, negative = int((toxic & ~calibrates).sum()), int((~toxic & ~calibrates).sum())
+    model = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0), -8.0, np.zeros((2, 2)), np.zeros(4))
     share = (toxic.sum() + 0.5) / (toxic.sum() + clean_weight * (~toxic).sum() + 1)
-    empty.document[-1] = math.log(share / (1 - share))
-    if not positive or not negative or not len(features):
-        return empty
+    model.document[-1] = math.log(share / (1 - share))
 
     # Features in more contexts of toxic documents than these documents' share of words explains (Chernoff's bound).
-    context, clean = _contexts(features, doc), (~calibrates & ~toxic)[doc]
-    keys, inside = _context_counts(features[learns], context[learns])
+    keys, inside, size = _context_counts(texts.filter(pa.array(~calibrates & toxic)))
     keys, inside = keys[inside >= 3], inside[inside >= 3]
-    if not len(keys) or not clean.any():
-        return empty
-    seen, counts = _context_counts(features[clean], context[clean], keys)
+    if not len(keys):
+        return model
+    seen, counts, rest = _context_counts(texts.filter(pa.array(~calibrates & ~toxic)), keys)
+    if not rest:
+        return model
     outside = np.zeros(len(keys))
     outside[np.searchsorted(keys, seen)] = counts
-    base, part = learns.sum() / (learns.sum() + clean.sum()), inside / (inside + outside)
+    base, part = size / (size + rest), inside / (inside + outside)
     with np.errstate(divide="ignore", invalid="ignore"):
         gap = part * np.log(part / base) + np.where(part < 1, (1 - part) * np.log((1 - part) / (1 - base)), 0)
     evidence = np.where(part > base, (inside + outside) * gap, 0)
@@ -217,30 +233,35 @@ def train(texts: pa.Array, toxic: np.ndarray, clean_weight: float = 1.0, most_fe
     chosen = np.sort(chosen[np.argsort(-evidence[chosen], kind="stable")[:most_features]])
     certain = (evidence > math.log(100 * len(keys))) & (purity >= 0.8)
     certain, keys = np.append(certain[chosen], False), keys[chosen]
-    model = ToxicityModel(keys, np.zeros(len(keys)), -4.0, np.zeros((2, 2)), empty.document)
-    at = model.find(features)
+    model.keys, model.weights, model.bias = keys, np.zeros(len(keys)), -4.0
 
     # The field learns from the words around any chosen feature; the rest look like these words' neighbours.
-    near = (at < len(keys)).any(axis=1)
-    for _ in range(NEAR):
-        wider = near.copy()
-        wider[1:] |= near[:-1] & (doc[1:] == doc[:-1])
-        wider[:-1] |= near[1:] & (doc[1:] == doc[:-1])
-        near = wider
-    used = np.flatnonzero(near & ~calibrates[doc])
-    if len(used):
-        first = np.ones(len(used), bool)
-        first[1:] = (np.diff(used) > 1) | (doc[used][1:] != doc[used][:-1])
-        may, rows = toxic[doc[used]], at[used]
+    rows, first, may = [], [], []
+    for _, features, doc, _ in _slices(texts.filter(pa.array(~calibrates))):
+        at = model.find(features)
+        near = (at < len(keys)).any(axis=1)
+        for _ in range(NEAR):
+            wider = near.copy()
+            wider[1:] |= near[:-1] & (doc[1:] == doc[:-1])
+            wider[:-1] |= near[1:] & (doc[1:] == doc[:-1])
+            near = wider
+        used = np.flatnonzero(near)
+        fresh = np.ones(len(used), bool)
+        fresh[1:] = (np.diff(used) > 1) | (doc[used][1:] != doc[used][:-1])
+        rows.append(at[used].astype(np.int32))
+        first.append(fresh)
+        may.append(toxic[~calibrates][doc[used]])
+    rows, first, may = np.concatenate(rows), np.concatenate(first), np.concatenate(may)
+    if len(rows):
         marked = may & certain[rows].any(axis=1)
         for _ in range(rounds):
             _fit_field(model, rows, first, marked.astype(float))
             marked = may & (Chain(model.emission(rows), first, model.moves).marginal > 0.5)
-    marginals = Chain(model.emission(at), _firsts(before), model.moves).marginal
-    values = np.column_stack([_document_values(marginals, before), np.ones(len(toxic))])[calibrates]
+    held = texts.filter(pa.array(calibrates))
+    values = [_document_values(model.marginals(features, before), before) for _, features, _, before in _slices(held)]
     y = toxic[calibrates].astype(float)
     if 0 < y.sum() < len(y):
-        model.document = _logistic(values, y, np.where(y == 1, 1.0, clean_weight))
+        model.document = _logistic(np.column_stack([np.concatenate(values), np.ones(len(y))]), y, np.where(y == 1, 1.0, clean_weight))
     return model
 
 
