@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluice.llm.alignment import aligned
 from sluice.llm.attention import language_scores
 from sluice.llm.chat import digests, format_conversations
 from sluice.llm.decontamination import benchmark_overlaps
@@ -75,6 +76,10 @@ def op10_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(periodic_runs(planted(_table(spark, sf_dir, "documents"))))
 
