@@ -1,12 +1,14 @@
 """Streams over the given tables, run over what is available and read back from their output tables."""
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice.operators import requests as R
 from sluice.plans.accounting_queries import LOG_LINE, LOG_RUN
 from sluice.plans.bindings import ARRIVAL, bind, read_table_stream, stored_requests
-from sluice.plans.catalog import ORACLES, query
+from sluice.plans.catalog import ORACLES, query, stamp, stamp_sql
+from sluice.plans.request_queries import ORDER
 from sluice.sources.store import requests_scan
 from sluice.sources.workspace import new_folder
 from sluice.streaming.corrections import stream_corrections, version_path
@@ -21,15 +23,45 @@ def _latest(spark, path: str, prefix: str) -> int:
     return names.select(F.max(number)).first()[0]
 
 
-@query("stream_intake")
+def arrive(rows: DataFrame, path: str, part: Column, parts: range):
+    """Write the rows of one part after the other to a stream's folder; the stream is run after each."""
+    numbered = rows.withColumn("_part", part)
+    for number in parts:
+        numbered.where(F.col("_part") == number).drop("_part").write.mode("append").parquet(path)
+        yield number
+
+
+# Three arrivals; some texts are blank, some terminal events are for IDs that nobody sent.
+INTAKE_PART = "CASE WHEN l_linenumber <= 2 THEN 0 WHEN l_linenumber <= 4 THEN 1 ELSE 2 END"
+INTAKE_ROWS = (
+    f"SELECT id, CASE WHEN l_suppkey % 13 = 0 THEN ' ' ELSE raw_message END AS raw_message, {ORDER}, CAST(NULL AS VARCHAR(20)) AS target, CAST(NULL AS VARCHAR(20)) AS failure_code FROM {{submissions}}"
+    f" UNION ALL SELECT CASE WHEN l_partkey % 11 = 0 THEN concat('x-', id) ELSE id END, CAST(NULL AS VARCHAR(20)), {ORDER}, target, failure_code FROM {{terminal_events}} WHERE l_partkey % 3 = 0"
+)
+
+
+@query(
+    "stream_intake",
+    f"WITH s AS (SELECT *, {INTAKE_PART} AS part FROM ({INTAKE_ROWS})),"
+    f" v AS (SELECT *, row_number() OVER w AS rn, first_value(raw_message) OVER w AS owner, first_value(part) OVER w AS born FROM s WHERE raw_message <> ' ' WINDOW w AS (PARTITION BY id ORDER BY {ORDER}, raw_message)),"
+    " o AS (SELECT id, owner, born FROM v WHERE rn = 1),"
+    f" t AS (SELECT s.*, born, row_number() OVER (PARTITION BY s.id, coalesce(born <= part, false) ORDER BY {ORDER}, target, failure_code) AS rn FROM s LEFT JOIN o ON s.id = o.id WHERE target IS NOT NULL),"
+    " e AS (SELECT id, target AS reached, part AS ended FROM t WHERE born <= part AND rn = 1)"
+    f" SELECT id, raw_message, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {stamp_sql('l_shipdate')} AS arrived, target,"
+    " CASE WHEN born <= part AND rn = 1 THEN 'applied' WHEN born <= part THEN 'not_processing' ELSE 'not_found' END AS outcome FROM t"
+    f" UNION ALL SELECT v.id, raw_message, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {stamp_sql('l_shipdate')}, target,"
+    " CASE WHEN raw_message <> owner THEN 'conflict' WHEN part > born THEN CASE WHEN ended IS NULL OR ended >= part THEN 'in_progress'"
+    " WHEN reached = 'completed' THEN 'duplicate_completed' ELSE 'failed_terminal' END WHEN rn = 1 THEN 'created' ELSE 'duplicate' END FROM v LEFT JOIN e ON v.id = e.id"
+    f" UNION ALL SELECT id, raw_message, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {stamp_sql('l_shipdate')}, target, 'invalid' FROM s WHERE raw_message = ' '",
+)
 def intake(spark, sf_dir):
-    lines = read_table_stream(spark, sf_dir, "lineitem")
-    submissions = bind(spark, sf_dir, "submissions", {"lineitem": lines})
+    """Submissions and terminal events in three arrivals; state is kept from one to the next."""
+    inputs = {name: bind(spark, sf_dir, name) for name in ("submissions", "terminal_events")}
+    rows = spark.sql(INTAKE_ROWS, **inputs).withColumns({name: F.col(name).cast("string") for name in ("id", "raw_message", "target", "failure_code")})
     base = new_folder(spark, "stream-intake")
-    stream_intake(submissions, f"{base}/reserved", f"{base}/outcomes", f"{base}/checkpoint", list(ARRIVAL)).awaitTermination()
+    for _ in arrive(rows, f"{base}/source", F.expr(INTAKE_PART), range(3)):
+        stream_intake(spark.readStream.schema(rows.schema).parquet(f"{base}/source"), base, list(ARRIVAL)).awaitTermination()
     return spark.read.parquet(f"{base}/outcomes").select(
-        "id", "raw_message", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice",
-        F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("arrived"), "outcome",
+        "id", "raw_message", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", stamp(F.col("l_shipdate")).alias("arrived"), "target", "outcome"
     )
 
 
@@ -62,5 +94,4 @@ def usage(spark, sf_dir):
 
 
 # One file is one batch, so the streams have to end where their batch forms do.
-ORACLES["stream_intake"] = ORACLES["intake_outcomes"]
 ORACLES["stream_corrections"] = ORACLES["correction_fold"]

@@ -1,59 +1,175 @@
-"""Idempotent intake of a stream: every submission gets its outcome, the first of an ID reserves it for good."""
+"""Idempotent intake and lifecycle of a stream, with a small state for each request.
 
-from collections.abc import Callable
+Two queries with a checkpoint each. ``stage_intake`` writes every micro-batch under its number, and beside it one row for
+each ID: its first submission and its first terminal event, by partial aggregates, so that a hot ID is one row however
+often it occurs. ``decide_intake`` reads those rows and keeps, keyed by ID in a RocksDB state store, the digest of the text
+that reserved the ID and the request's state; it touches the keys of a micro-batch and no others, so its cost does not
+grow with all that was ever reserved. Its decisions are joined back to the staged rows with the batch form's salts.
 
-from pyspark.sql import DataFrame, SparkSession
+Every output is a folder of a batch's number and is written again, with the same rows, when a batch is repeated.
+"""
+
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+
+from sluice.functions.text import is_blank
+from sluice.operators.skew import HOT_ROWS, attach
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FIRSTS = "id string, digest binary, place long, target string, failure_code string, end_place long, _rows long, batch long"
+DECISIONS = (
+    "batch long, id string, owner binary, created_place long, before string, ended_place long, state string, failure_code string, _rows long"
+)
 
-from sluice.operators.requests import intake
-from sluice.operators.skew import HOT_ROWS
 
-RESERVED = "id string, raw_message string, state string"
+class RequestState(StatefulProcessor):
+    """Per ID (digest, state, number of the last batch). The first valid submission reserves it for good."""
 
+    def init(self, handle) -> None:
+        self.kept = handle.getValueState("request", "digest binary, state string, batch long")
 
-def reservations(spark: SparkSession, path: str, before_batch: int | None = None) -> DataFrame:
-    """Reserved IDs with the exact text that reserved them, optionally as of the start of a batch."""
-    table = spark.read.schema(f"{RESERVED}, batch long").option("basePath", path).parquet(path)
-    if before_batch is not None:
-        table = table.where(F.col("batch") < before_batch)
-    return table.select("id", "raw_message", "state")
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        digest = state = last = None
+        if self.kept.exists():
+            digest, state, last = self.kept.get()
+        known = last
+        for row in sorted(rows, key=lambda r: r.batch):  # one row for each staged batch
+            if last is not None and row.batch <= last:
+                continue  # a staged batch that was written again
+            before, created, ended = state, None, None
+            if state is None and row.digest is not None:
+                digest, state, created = bytes(row.digest), "processing", row.place
+            if state == "processing" and row.target is not None:  # after the batch's submissions
+                state, ended = row.target, row.end_place
+            if state is not None:
+                last = row.batch
+            yield Row(
+                batch=row.batch, id=key[0], owner=digest, created_place=created, before=before, ended_place=ended, state=state,
+                failure_code=row.failure_code if ended is not None else None, _rows=row._rows,
+            )
+        if last != known:
+            self.kept.update((digest, state, last))
 
+    def close(self) -> None:
+        pass
 
-def intake_batch(
-    reserved_path: str, outcome_path: str, order: list[str], hot_rows: int = HOT_ROWS
-) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function around the batch operator.
 
-    A hot ID is pre-aggregated and salted as in the batch form, which per-key streaming state could not do.
-    Both outputs are folders per batch number and a batch reads only earlier ones, so a repeated batch
-    overwrites its own output with the same rows.
+def _valid():
+    unfit = [F.col(name).isNull() | is_blank(F.col(name)) for name in ("id", "raw_message")]
+    return ~(unfit[0] | unfit[1])
+
+
+def batch_firsts(staged: DataFrame, order: list[str]) -> DataFrame:
+    """One row per ID: its first valid submission, its first terminal event, and how many rows it has."""
+    submitted = F.col("target").isNull() & _valid()
+    text = F.unhex(F.sha2(F.col("raw_message").cast("binary"), 256))
+    first = F.min(F.when(submitted, F.struct(*order, "raw_message", "_place", text.alias("digest"))))
+    end = F.min(F.when(F.col("target").isNotNull(), F.struct(*order, "target", "failure_code", "_place")))
+    rows = staged.where(F.col("id").isNotNull()).groupBy("id").agg(first.alias("f"), end.alias("e"), F.count("*").alias("_rows"))
+    return rows.select(
+        "id", "f.digest", F.col("f._place").alias("place"), "e.target", "e.failure_code", F.col("e._place").alias("end_place"), "_rows"
+    )
+
+
+def stage_intake(rows: DataFrame, base: str, order: list[str]) -> StreamingQuery:
+    """Submissions (id, raw_message, ``order``) and terminal events (id, target, failure_code, ``order``) of one stream.
+
+    A row with a target is an event. ``order`` puts the rows of an ID in order inside a batch.
     """
+    for name in ("target", "failure_code"):
+        if name not in rows.columns:
+            rows = rows.withColumn(name, F.lit(None).cast("string"))
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        # An empty table on the first batch: the schema is declared, so an absent folder is the only case.
-        if number == 0:
-            spark.createDataFrame([], RESERVED).write.mode("ignore").parquet(f"{reserved_path}/batch=-1")
-        stored = reservations(spark, reserved_path, before_batch=number)
-        routed = intake(batch, order, stored, hot_rows)
-        routed.write.mode("overwrite").parquet(f"{outcome_path}/batch={number}")
-        done = spark.read.parquet(f"{outcome_path}/batch={number}")
-        fresh = done.where(F.col("outcome") == "created").select(
-            "id", "raw_message", F.lit("processing").alias("state")
+        path = f"{base}/staged/batch={number}"
+        batch.withColumn("_place", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+        staged = batch.sparkSession.read.parquet(path)
+        batch_firsts(staged, order).write.mode("overwrite").parquet(f"{base}/firsts/batch={number}")
+
+    return rows.writeStream.foreachBatch(run).option("checkpointLocation", f"{base}/checkpoint-stage").trigger(availableNow=True).start()
+
+
+def outcomes(staged: DataFrame, decisions: DataFrame, order: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every staged row with its outcome; the rows of hot IDs are salted.
+
+    Submissions: ``invalid``, ``conflict``, ``duplicate_completed``, ``in_progress`` and ``failed_terminal`` (by the state
+    before the batch), ``created`` (one row of an ID, ever), ``duplicate`` (of a submission of the same batch). Events:
+    ``applied`` (one of an ID, ever), ``not_processing``, ``not_found``.
+    """
+    joined = attach(staged, decisions.drop("failure_code"), ["batch", "id"], [*order, "_place"], hot_rows=hot_rows)
+    digest = F.unhex(F.sha2(F.col("raw_message").cast("binary"), 256))
+    event = (
+        F.when(F.col("owner").isNull(), "not_found").when(F.col("_place") == F.col("ended_place"), "applied").otherwise("not_processing")
+    )
+    submission = (
+        F.when(~_valid(), "invalid")
+        .when(digest != F.col("owner"), "conflict")
+        .when(F.col("before") == "completed", "duplicate_completed")
+        .when(F.col("before") == "processing", "in_progress")
+        .when(F.col("before") == "failed", "failed_terminal")
+        .when(F.col("_place") == F.col("created_place"), "created")
+        .otherwise("duplicate")
+    )
+    judged = joined.withColumn("outcome", F.when(F.col("target").isNotNull(), event).otherwise(submission))
+    return judged.select(*[name for name in staged.columns if name != "_place"], "outcome")
+
+
+@contextmanager
+def rocksdb_state(spark: SparkSession):
+    """Queries started inside keep their state in RocksDB and upload its changes, not all of it, after each batch."""
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def decide_intake(spark: SparkSession, base: str, order: list[str], hot_rows: int = HOT_ROWS) -> StreamingQuery:
+    """Decide what is staged: ``decided`` has a row for each ID and batch, ``outcomes`` one for each staged row."""
+    firsts = spark.readStream.schema(FIRSTS).parquet(f"{base}/firsts")
+    changes = firsts.groupBy("id").transformWithState(RequestState(), DECISIONS, "Update", "None")
+
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        path = f"{base}/decided/step={number}"
+        batch.write.mode("overwrite").parquet(path)
+        decided = session.read.schema(DECISIONS).parquet(path)
+        for (staged_batch,) in decided.select("batch").distinct().collect():  # numbers of the micro-batches just staged
+            staged = session.read.parquet(f"{base}/staged/batch={staged_batch}").withColumn("batch", F.lit(staged_batch).cast("long"))
+            now = decided.where(F.col("batch") == staged_batch)
+            # Rows without an ID are in no decision and come out as invalid.
+            found = outcomes(staged, now, order, hot_rows).drop("batch")
+            found.write.mode("overwrite").parquet(f"{base}/outcomes/batch={staged_batch}")
+
+    with rocksdb_state(spark):
+        return (
+            changes.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{base}/checkpoint-decide")
+            .trigger(availableNow=True)
+            .start()
         )
-        fresh.write.mode("overwrite").parquet(f"{reserved_path}/batch={number}")
 
-    return run
+
+def stream_intake(rows: DataFrame, base: str, order: list[str], hot_rows: int = HOT_ROWS) -> StreamingQuery:
+    """Stage and decide what is available now; run it again with the same ``base`` to go on."""
+    stage_intake(rows, base, order).awaitTermination()
+    return decide_intake(rows.sparkSession, base, order, hot_rows)
 
 
-def stream_intake(
-    submissions: DataFrame, reserved_path: str, outcome_path: str, checkpoint_path: str, order: list[str],
-    hot_rows: int = HOT_ROWS,
-):
-    """Start the query over what is available now; run it again with the same paths to go on."""
-    return (
-        submissions.writeStream.foreachBatch(intake_batch(reserved_path, outcome_path, order, hot_rows))
-        .option("checkpointLocation", checkpoint_path)
-        .trigger(availableNow=True)
-        .start()
+def request_states(spark: SparkSession, base: str) -> DataFrame:
+    """Current state of every reserved ID, from the decisions."""
+    decided = spark.read.schema(f"{DECISIONS}, step long").option("basePath", f"{base}/decided").parquet(f"{base}/decided")
+    last = F.max_by(F.struct("owner", "state"), "batch")
+    return decided.where(F.col("owner").isNotNull()).groupBy("id").agg(last.alias("l"), F.max("failure_code").alias("failure_code")).select(
+        "id", F.col("l.owner").alias("digest"), "l.state", "failure_code"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sluice.operators.requests import effective_classification
 from sluice.sources.store import requests_scan
 from sluice.streaming.corrections import resume_corrections, stream_corrections, version_path
-from sluice.streaming.intake import reservations, stream_intake
+from sluice.streaming.intake import FIRSTS, decide_intake, request_states, stage_intake, stream_intake
 from sluice.streaming.usage import stream_usage, tail_lines
 from tests.test_corrections import BASE, START, _request, _table
 from sluice import schemas
@@ -21,24 +21,71 @@ def _arrive(folder, name, rows):
     os.utime(path, (1_700_000_000 + int(name[0]), 1_700_000_000 + int(name[0])))
 
 
+INTAKE = "id string, raw_message string, arrival long, target string, failure_code string"
+
+
+def _intake(spark, source, base, per_batch=1, hot_rows=1):
+    stream = spark.readStream.schema(INTAKE).option("maxFilesPerTrigger", per_batch).json(str(source))
+    query = stream_intake(stream, str(base), ["arrival"], hot_rows=hot_rows)
+    query.awaitTermination()
+    return query
+
+
+def _outcomes(spark, base):
+    return {row.arrival: row.outcome for row in spark.read.schema(INTAKE + ", outcome string").parquet(f"{base}/outcomes").collect()}
+
+
 def test_intake_keeps_reservations_over_batches_and_restarts(spark, tmp_path):
-    source = tmp_path / "in"
+    source, base = tmp_path / "in", tmp_path / "base"
     row = lambda i, text, at: {"id": i, "raw_message": text, "arrival": at}
-    _arrive(source, "1.json", [row("a", "x", 2), row("a", "y", 1), row("b", "q", 3)])
-    paths = [str(tmp_path / name) for name in ("reserved", "outcomes", "checkpoint")]
-
-    def run():
-        stream = spark.readStream.schema("id string, raw_message string, arrival long").option("maxFilesPerTrigger", 1).json(str(source))
-        stream_intake(stream, *paths, ["arrival"], hot_rows=1).awaitTermination()
-        return {row.arrival: row.outcome for row in spark.read.parquet(paths[1]).collect()}
-
-    assert run() == {1: "created", 2: "conflict", 3: "created"}
-    _arrive(source, "2.json", [row("a", "y", 0), row("b", "other", 4), row("c", "z", 5)])
-    _arrive(source, "3.json", [row("c", "z", 6), row("c", "Z", 7)])
-    found = run()
-    assert {at: found[at] for at in (0, 4, 5, 6, 7)} == {0: "in_progress", 4: "conflict", 5: "created", 6: "in_progress", 7: "conflict"}
-    kept = {row.id: row.raw_message for row in reservations(spark, paths[0]).collect()}
-    assert kept == {"a": "y", "b": "q", "c": "z"} and run() == found
+    end = lambda i, target, at: {"id": i, "target": target, "arrival": at, "failure_code": "timeout" if target == "failed" else None}
+    _arrive(source, "1.json", [row("a", "x", 2), row("a", "y", 1), row("b", "q", 3), row("b", "q", 8), row(None, "x", 20), row(" ", "x", 21), row("d", " ", 22)])
+    _intake(spark, source, base)
+    assert _outcomes(spark, base) == {1: "created", 2: "conflict", 3: "created", 8: "duplicate", 20: "invalid", 21: "invalid", 22: "invalid"}
+    _arrive(source, "2.json", [row("a", "y", 0), row("b", "other", 4), row("c", "z", 5), end("a", "completed", 40), end("a", "failed", 41), end("nobody", "failed", 42)])
+    _arrive(source, "3.json", [row("c", "z", 6), row("c", "Z", 7), row("a", "y", 9), row("d", "real", 23), end("b", "failed", 43), end("b", "completed", 44), end("c", "completed", 45)])
+    _arrive(source, "4.json", [row("b", "q", 10), row("c", "z", 11), row("d", "real", 24), end("a", "failed", 46), row("nobody", "n", 12)])
+    _intake(spark, source, base)
+    found = _outcomes(spark, base)
+    assert {at: found[at] for at in (0, 4, 5, 40, 41, 42)} == {0: "in_progress", 4: "conflict", 5: "created", 40: "applied", 41: "not_processing", 42: "not_found"}
+    assert {at: found[at] for at in (6, 7, 9, 23, 43, 44, 45)} == {6: "in_progress", 7: "conflict", 9: "duplicate_completed", 23: "created", 43: "applied", 44: "not_processing", 45: "applied"}
+    assert {at: found[at] for at in (10, 11, 24, 46, 12)} == {10: "failed_terminal", 11: "duplicate_completed", 24: "in_progress", 46: "not_processing", 12: "created"}
+    states = {row.id: (row.state, row.failure_code) for row in request_states(spark, str(base)).collect()}
+    assert states == {"a": ("completed", None), "b": ("failed", "timeout"), "c": ("completed", None), "d": ("processing", None), "nobody": ("processing", None)}
+    _intake(spark, source, base)
+    assert _outcomes(spark, base) == found
+
+
+def test_intake_of_several_staged_batches_in_one_step(spark, tmp_path):
+    """The decider may lag: batches staged meanwhile are decided in their order."""
+    source, base = tmp_path / "in", tmp_path / "base"
+    for n in range(1, 5):
+        _arrive(source, f"{n}.json", [{"id": "a", "raw_message": "t", "arrival": n}] + ([{"id": "a", "target": "completed", "arrival": 90 + n}] if n == 2 else []))
+    stream = spark.readStream.schema(INTAKE).option("maxFilesPerTrigger", 1).json(str(source))
+    stage_intake(stream, str(base), ["arrival"]).awaitTermination()
+    decide_intake(spark, str(base), ["arrival"]).awaitTermination()
+    assert _outcomes(spark, base) == {1: "created", 2: "in_progress", 92: "applied", 3: "duplicate_completed", 4: "duplicate_completed"}
+    # A staged batch that is written again, as after a lost driver, changes nothing.
+    again = spark.read.parquet(f"{base}/firsts/batch=3").collect()
+    spark.createDataFrame(again, FIRSTS.rsplit(", batch", 1)[0]).write.mode("overwrite").parquet(f"{base}/firsts/batch=3")
+    decide_intake(spark, str(base), ["arrival"]).awaitTermination()
+    assert _outcomes(spark, base)[4] == "duplicate_completed" and spark.read.parquet(f"{base}/decided").count() == 4
+
+
+def test_intake_state_work_follows_the_batch_not_the_history(spark, tmp_path):
+    source, base = tmp_path / "in", tmp_path / "base"
+    updated, read = [], []
+    for n in range(1, 7):
+        fresh = [{"id": f"{n}-{k}", "raw_message": "t" * 50, "arrival": n} for k in range(400 if n < 6 else 20)]
+        _arrive(source, f"{n}.json", fresh + [{"id": "1-1", "raw_message": "t" * 50, "arrival": n}])
+        query = _intake(spark, source, base)
+        work = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]]
+        updated.append(sum(w["numRowsUpdated"] for w in work))
+        read.append(sum(w["customMetrics"].get("rocksdbTotalBytesRead", 0) for w in work))
+        total = work[-1]["numRowsTotal"]
+    assert total == 5 * 400 + 20
+    assert updated[-1] <= 2 * 21 and updated[1] >= 400  # keys of the batch, whatever was reserved before
+    assert max(read[1:]) <= 2 * read[1]  # state bytes read for a batch do not grow with the history
 
 
 def test_corrections_over_batches_equal_arrival_order(spark, tmp_path):
