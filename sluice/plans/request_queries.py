@@ -10,7 +10,9 @@ from sluice.operators import requests as R
 from sluice.operators.language import policy_scope
 from sluice.plans.bindings import ARRIVAL, bind, bind_spread, stored_requests
 from sluice.plans.catalog import query, stamp, stamp_sql
-from sluice.sources.store import decode_text_rows, encode_json, requests_scan, upsert_requests, write_version
+from sluice import schemas
+from sluice.sources.buckets import BucketTable
+from sluice.sources.store import decode_text_rows, encode_json, guard_finished, requests_scan, upsert_bucketed, write_version
 from sluice.sources.workspace import new_folder
 
 ORDER = ", ".join(ARRIVAL)
@@ -213,7 +215,7 @@ def request_times(spark, sf_dir):
     " CASE WHEN state = 'processing' AND target IS NOT NULL AND NOT (target = 'completed' AND categoria IS NOT NULL) THEN coalesce(new_code, 'unexpected_error') ELSE failure_code END AS code FROM j",
 )
 def requests_upsert(spark, sf_dir):
-    """Next table version: reservations added, first terminal events applied, written and read back."""
+    """Reservations, then first terminal events, each as a delta of a bucketed table; compacted, and read back."""
     early = bind(spark, sf_dir, "requests").where(F.col("created_at") < F.lit("2000-01-01").cast("timestamp_ntz"))
     firsts = R.first_writer(bind(spark, sf_dir, "submissions"), list(ARRIVAL))
     reserved = firsts.select(
@@ -229,13 +231,32 @@ def requests_upsert(spark, sf_dir):
         F.when(F.col("good"), F.col("metadata")).alias("metadata"),
         F.coalesce("_first.failure_code", F.lit("unexpected_error")).alias("error_type"),
     )
-    path = new_folder(spark, "upsert")
-    write_version(upsert_requests(stored_requests(early), reserved, finished), path)
-    return requests_scan(spark, path).select(
+    table = BucketTable(spark, new_folder(spark, "upsert"), schemas.REQUEST)
+    version = upsert_bucketed(table, table.create(stored_requests(early), 16), reserved, finished.limit(0))
+    version = table.compact(upsert_bucketed(table, version, reserved.limit(0), guard_finished(finished)[0]), 1)
+    return table.read(version).select(
         "id", "raw_message", "state", F.col("effective_category").alias("category"), F.col("failure_code").alias("code")
     )
 
 
+@query(
+    "upsert_rejects",
+    "SELECT row_id AS id, CASE WHEN state = 'completed' THEN 'other_id' ELSE 'failure_code' END AS reason FROM"
+    " (SELECT r.id AS row_id, state, key_number, priority_text, n FROM {requests} AS r JOIN (SELECT id, count(*) AS n FROM {requests} GROUP BY id) AS c ON c.id = r.id) WHERE"
+    " (state = 'completed' AND key_number % 7 = 0) OR (state = 'failed' AND priority_text <> '1-URGENT')",
+)
+def upsert_rejects(spark, sf_dir):
+    """Classifications under another ID and failure codes that are no codes, kept out of the table."""
+    rows = stored(spark, sf_dir).join(bind(spark, sf_dir, "requests").select("id", "key_number", "priority_text"), "id")
+    other = F.col("ai_classification").withField("id", F.when(F.col("key_number") % 7 == 0, F.lit("other")).otherwise(F.col("id")))
+    finished = rows.where(F.col("state") != "processing").select(
+        "id", F.col("created_at").alias("at"), F.when(F.col("state") == "completed", other).alias("classification"),
+        F.col("provider_metadata").alias("metadata"),
+        F.when(F.col("priority_text") == "1-URGENT", "timeout").when(F.col("priority_text") == "5-LOW", F.lit(None)).otherwise(F.col("priority_text")).alias("error_type"),
+    )
+    return guard_finished(finished)[1].select("id", "reason")
+
+
 # Sequential brute force over each ID's corrections.
 FOLD_CTES = """c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, seq) AS n FROM {corrections}),
     fold AS (

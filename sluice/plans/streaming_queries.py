@@ -6,12 +6,11 @@ from pyspark.sql import functions as F
 from sluice import fixed_values as V
 from sluice.operators import requests as R
 from sluice.plans.accounting_queries import LOG_LINE, LOG_RUN
-from sluice.plans.bindings import ARRIVAL, bind, read_table_stream, stored_requests
+from sluice.plans.bindings import ARRIVAL, bind, stored_requests
 from sluice.plans.catalog import ORACLES, query, stamp, stamp_sql
 from sluice.plans.request_queries import ORDER
-from sluice.sources.store import requests_scan
 from sluice.sources.workspace import new_folder
-from sluice.streaming.corrections import stream_corrections, version_path
+from sluice.streaming.corrections import requests_table, resume_corrections
 from sluice.streaming.intake import stream_intake
 from sluice.streaming.usage import stream_usage, tail_lines
 
@@ -65,18 +64,34 @@ def intake(spark, sf_dir):
     )
 
 
-@query("stream_corrections")
-def corrections(spark, sf_dir):
-    changes = bind(spark, sf_dir, "corrections", {"events": read_table_stream(spark, sf_dir, "events")})
+def _stream_corrections(spark, sf_dir):
+    """Three arrivals in the order of their times, folded one after the other into a bucketed table."""
+    changes = bind(spark, sf_dir, "corrections")
+    bounds = changes.select(F.col("ts").cast("timestamp").cast("double").alias("t")).approxQuantile("t", [0.33, 0.66], 0.05)
+    moment = F.col("ts").cast("timestamp").cast("double")
+    part = sum((F.when(moment > bound, 1).otherwise(0) for bound in bounds), F.lit(0))
     base = new_folder(spark, "stream-corrections")
     requests = stored_requests(bind(spark, sf_dir, "requests"))
-    stream_corrections(changes, requests, f"{base}/requests", f"{base}/rejected", f"{base}/checkpoint").awaitTermination()
-    latest = requests_scan(spark, version_path(f"{base}/requests", _latest(spark, f"{base}/requests", "version")))
+    paths = (f"{base}/requests", f"{base}/rejected", f"{base}/checkpoint")
+    requests_table(spark, paths[0]).create(requests, 16)
+    for _ in arrive(changes, f"{base}/source", part, range(3)):
+        resume_corrections(spark.readStream.schema(changes.schema).parquet(f"{base}/source"), *paths, most_deltas=1).awaitTermination()
+    return paths
+
+
+@query("stream_corrections")
+def corrections(spark, sf_dir):
+    latest = requests_table(spark, _stream_corrections(spark, sf_dir)[0]).read()
     return latest.select(
         "id", "state", R.effective_classification().alias("e"), F.col("human_correction").isNotNull().alias("corrected")
     ).select("id", "state", *[f"e.{name}" for name in V.CONTENT_FIELDS], "corrected")
 
 
+@query("stream_correction_rejects")
+def correction_rejects(spark, sf_dir):
+    return spark.read.parquet(_stream_corrections(spark, sf_dir)[1]).select("id", "seq", "reason")
+
+
 @query(
     "stream_usage",
     f"SELECT {LOG_RUN} AS run_id, count(CASE WHEN k NOT BETWEEN 1 AND 4 THEN 1 END) AS observed_model_calls, count(CASE WHEN k BETWEEN 1 AND 4 THEN 1 END) AS invalid_lines,"
@@ -93,5 +108,6 @@ def usage(spark, sf_dir):
     )
 
 
-# One file is one batch, so the streams have to end where their batch forms do.
+# Corrections that arrive in the order of their times end where the batch form does, with the same rejects.
 ORACLES["stream_corrections"] = ORACLES["correction_fold"]
+ORACLES["stream_correction_rejects"] = ORACLES["correction_rejects"]

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sluice import schemas
 from sluice.operators.requests import content_of
+from sluice.sources.buckets import BucketTable
 
 
 def requests_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +36,39 @@ def write_version(requests: DataFrame, path: str) -> None:
     requests.sortWithinPartitions("created_at").write.mode("errorifexists").parquet(path)
 
 
+#: Characters of a failure code.
+SANITIZED = r"^[a-z_]+$"
+
+
+def guard_finished(finished: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what may be stored, what may not with its ``reason``).
+
+    A classification has to carry the ID that it is stored under (``other_id``), a failure needs a code of lower-case
+    letters and underscores (``failure_code``), and of an ID that is finished more than once nothing is stored (``repeated``).
+    """
+    good = F.col("classification").isNotNull()
+    reason = (
+        F.when(good & ~F.col("classification.id").eqNullSafe(F.col("id")), "other_id")
+        .when(~good & ~F.coalesce(F.col("error_type").rlike(SANITIZED), F.lit(False)), "failure_code")
+    )
+    often = finished.groupBy("id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("id", F.lit(True).alias("_often"))
+    judged = finished.join(often, "id", "left").withColumn("reason", F.coalesce(reason, F.when(F.col("_often"), "repeated"))).drop("_often")
+    return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
+
+
+def upsert_bucketed(table: BucketTable, version: int, reserved: DataFrame, finished: DataFrame) -> int:
+    """The version after ``version``: only the buckets of the given IDs are read, and written as deltas.
+
+    Arguments as of ``upsert_requests``. Rows that stay as they are go into no delta.
+    """
+    keys = reserved.select("id").unionByName(finished.select("id"))
+    before = table.read_keys(keys, version)
+    after = upsert_requests(before, reserved, finished)
+    old = before.select("id", F.col("state").alias("_state"))
+    changed = after.join(old, "id", "left").where(~F.col("_state").eqNullSafe(F.col("state"))).drop("_state")
+    return table.put(changed, version)
+
+
 def upsert_requests(stored: DataFrame, reserved: DataFrame, finished: DataFrame) -> DataFrame:
     """The next version: new reservations added, processing requests completed or failed.
 

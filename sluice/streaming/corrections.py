@@ -1,40 +1,53 @@
-"""Corrections as a stream folded over the stored requests, one new table version per batch."""
+"""Corrections as a stream folded over the stored requests, in buckets that are merged when they are read."""
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sluice.operators.corrections import fold_corrections
-from sluice.sources.store import requests_scan, write_version
+from sluice import schemas
+from sluice.operators.corrections import apply_latest, judge_corrections, latest_fields
+from sluice.sources.buckets import BUCKETS, MOST_DELTAS, BucketTable
+from sluice.sources.workspace import settle
 
 
-def version_path(table_path: str, number: int) -> str:
-    return f"{table_path}/version={number}"
+def requests_table(spark: SparkSession, path: str) -> BucketTable:
+    return BucketTable(spark, path, schemas.REQUEST)
 
 
-def corrections_batch(table_path: str, rejected_path: str) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: version n + 1 is version n with the batch folded in by the batch operator."""
+def corrections_batch(table_path: str, rejected_path: str, most_deltas: int = MOST_DELTAS) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function: the batch is judged against the requests that it names, read from their buckets.
+
+    Batch n makes version 2n + 1, a delta of the corrected requests, and version 2n + 2, which differs only where buckets
+    were compacted. A repeated batch starts from version 2n again and writes the same.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        current = requests_scan(batch.sparkSession, version_path(table_path, number))
-        folded, rejected = fold_corrections(current, batch)
-        rejected.write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
-        folded.write.mode("overwrite").parquet(version_path(table_path, number + 1))
+        table = requests_table(batch.sparkSession, table_path)
+        current = settle(table.read_keys(batch, 2 * number))
+        judged = settle(judge_corrections(current, batch))
+        judged.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
+        latest = latest_fields(judged.where(F.col("reason").isNull()))
+        changed = current.join(latest.select("id"), "id", "left_semi")
+        after = table.put(apply_latest(changed, latest), 2 * number)
+        if table.compact(after, most_deltas) == after:
+            table.carry(after)
 
     return run
 
 
 def stream_corrections(
-    corrections: DataFrame, requests: DataFrame, table_path: str, rejected_path: str, checkpoint_path: str
+    corrections: DataFrame, requests: DataFrame, table_path: str, rejected_path: str, checkpoint_path: str,
+    buckets: int = BUCKETS, most_deltas: int = MOST_DELTAS,
 ):
     """Write the starting version once, then fold what is available now."""
-    write_version(requests, version_path(table_path, 0))
-    return resume_corrections(corrections, table_path, rejected_path, checkpoint_path)
+    requests_table(corrections.sparkSession, table_path).create(requests, buckets)
+    return resume_corrections(corrections, table_path, rejected_path, checkpoint_path, most_deltas)
 
 
-def resume_corrections(corrections: DataFrame, table_path: str, rejected_path: str, checkpoint_path: str):
+def resume_corrections(corrections: DataFrame, table_path: str, rejected_path: str, checkpoint_path: str, most_deltas: int = MOST_DELTAS):
     return (
-        corrections.writeStream.foreachBatch(corrections_batch(table_path, rejected_path))
+        corrections.writeStream.foreachBatch(corrections_batch(table_path, rejected_path, most_deltas))
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
         .start()

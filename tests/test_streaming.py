@@ -5,8 +5,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from sluice.operators.requests import effective_classification
-from sluice.sources.store import requests_scan
-from sluice.streaming.corrections import resume_corrections, stream_corrections, version_path
+from sluice.streaming.corrections import requests_table, resume_corrections, stream_corrections
 from sluice.streaming.intake import FIRSTS, decide_intake, request_states, stage_intake, stream_intake
 from sluice.streaming.usage import stream_usage, tail_lines
 from tests.test_corrections import BASE, START, _request, _table
@@ -110,8 +109,11 @@ def test_corrections_over_batches_equal_arrival_order(spark, tmp_path):
     resume_corrections(stream(), *paths).awaitTermination()
     rejected = spark.read.parquet(paths[1]).collect()
     assert {row.seq for row in rejected} == {1, 4, 5}
-    final = requests_scan(spark, version_path(paths[0], 3)).where("id = 'r'").select(effective_classification().alias("e")).first().e
+    table = requests_table(spark, paths[0])
+    final = table.read().where("id = 'r'").select(effective_classification().alias("e")).first().e
     assert (final.categoria, final.prioridad, final.requiere_info, final.pregunta_seguimiento) == ("datos", "baja", False, None)
+    assert [table.rewritten(v) for v in (1, 3, 5)] == [1, 1, 1]  # the bucket of one request, of two requests in 64 buckets
+    assert table.read(0).count() == table.read().count() == 2 and table.read(0).where("human_correction IS NOT NULL").count() == 0
 
 
 def test_running_usage_grows_with_the_log(spark, tmp_path):
