@@ -4,13 +4,15 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from sluice.operators import language as L
+from sluice.operators.accounting import account_usage
+from sluice.operators.attempt_loop import classify_rounds
 from sluice.operators.classification import classify, outcome_messages, pandas_scorer, stamp_provenance
 from sluice.operators.rubric import DEFAULT_LABELS, LEXICON, NO_HIT_CONFIDENCE, rubric_labels, rubric_scores
 from sluice.plans.bindings import bind, bind_spread
 from sluice.plans.catalog import query, words_sql
 from sluice.plans.masking_queries import masked_ctes
 from sluice.sources.files import prompt_files, valid_prompts
-from sluice.sources.workspace import new_folder
+from sluice.sources.workspace import new_folder, settle
 
 
 def grams_sql(source: str, columns: str, text: str) -> str:
@@ -149,6 +151,84 @@ def classify_batch(spark, sf_dir):
     )
 
 
+# A model that answers by the ticket's number and the attempt: failures worth a retry and others, bad labels, and a summary
+# in another language.
+TRIED_KIND = "CASE (number * 3 + attempt) % 9 WHEN 0 THEN 'timeout' WHEN 1 THEN 'refusal' WHEN 2 THEN 'label' WHEN 3 THEN 'other' WHEN 4 THEN 'rate_limit' ELSE 'good' END"
+TRIED_SUMMARY = "CASE WHEN kind = 'other' THEN 'The thing was then there with others' ELSE 'Solicitud revisada para el equipo de datos' END"
+
+
+def scripted_caller(rows):
+    kinds = rows.selectExpr("id", "attempt", "CAST(substr(id, 3) AS BIGINT) AS number").selectExpr("*", f"{TRIED_KIND} AS kind")
+    failed = F.col("kind").isin("timeout", "refusal", "rate_limit")
+    structured = F.struct(
+        F.when(F.col("kind") == "label", "queja").otherwise("datos").alias("categoria"), F.lit("alta").alias("prioridad"), F.lit("data").alias("area_sugerida"),
+        F.lit("es").alias("idioma"), F.expr(TRIED_SUMMARY).alias("resumen"), F.lit(False).alias("requiere_info"), F.lit(None).cast("string").alias("pregunta_seguimiento"),
+        F.lit(0.5).alias("confianza"),
+    )
+    return kinds.select(
+        "id", F.when(~failed, structured).alias("structured"), F.when(failed, F.col("kind")).alias("error_type"), F.lit("model-a").alias("model"),
+        F.when(~failed, F.col("attempt") * 100).cast("long").alias("input_tokens"), F.when(~failed, F.col("attempt") * 10).cast("long").alias("output_tokens"),
+        F.lit(None).cast("long").alias("cached_input_tokens"), F.lit(1.0).alias("latency_ms"),
+    )
+
+
+def _tried(spark, sf_dir):
+    profile = _profile(spark, sf_dir)
+
+    def policy(summaries):
+        """The verdict of each different summary once, given back to the rows that have it."""
+        texts = settle(summaries)
+        verdict = L.spanish_accepted(texts.select("resumen").distinct(), "resumen", profile, key="resumen")
+        return texts.join(verdict, "resumen").select("id", "summary_accepted")
+
+    pricing = spark.sql("SELECT 'model-a' AS model, 1.5BD AS input_per_million, 2.5BD AS output_per_million, CAST(NULL AS DECIMAL(12, 6)) AS cached_input_per_million")
+    return classify_rounds(bind_spread(spark, sf_dir, "tickets"), scripted_caller, policy, pricing, model="model-a")
+
+
+TRIED_CTES = (
+    f"{PROFILE_CTES}, calls AS (SELECT *, {TRIED_SUMMARY} AS resumen FROM (SELECT *, {TRIED_KIND} AS kind FROM"
+    " (SELECT id, CAST(substr(id, 3) AS BIGINT) AS number, unnest([1, 2, 3]) AS attempt FROM {tickets}) AS n_) AS k_),"
+    f" sums AS (SELECT DISTINCT resumen FROM calls), {verdict_ctes('sums', 'resumen', 'resumen')},"
+    " judged AS (SELECT id, attempt, CASE WHEN kind IN ('timeout', 'refusal', 'rate_limit') THEN kind WHEN kind = 'label' THEN 'invalid_classification'"
+    " WHEN lang_pred IS DISTINCT FROM 'es' THEN 'invalid_summary_language' END AS reason, kind NOT IN ('timeout', 'refusal', 'rate_limit') AS answered FROM calls JOIN verdict ON vk = resumen),"
+    " ended AS (SELECT id, min(attempt) AS attempts FROM judged WHERE reason IS NULL OR reason = 'refusal' OR attempt = 3 GROUP BY id)"
+)
+
+
+@query(
+    "classify_attempts",
+    f"WITH {TRIED_CTES} SELECT j.id, CASE WHEN reason IS NULL THEN 'succeeded' ELSE 'failed' END AS state, reason AS failure_category, attempts,"
+    " CASE WHEN reason IS NULL THEN 'datos' END AS categoria, CASE WHEN reason IS NULL THEN CAST(attempts * 100 AS BIGINT) END AS input_tokens,"
+    " CASE WHEN reason IS NULL THEN CAST(attempts * 175 AS DOUBLE) / 1000000 END AS cost_usd FROM judged AS j JOIN ended AS e ON e.id = j.id AND attempts = attempt",
+)
+def classify_attempts(spark, sf_dir):
+    """Tickets tried up to three times; outcomes with tokens and cost of the attempt that counts."""
+    return _tried(spark, sf_dir).outcomes.select(
+        "id", "state", "failure_category", "attempts", "classification.categoria", "metadata.input_tokens",
+        F.col("metadata.estimated_cost_usd").cast("double").alias("cost_usd"),
+    )
+
+
+@query(
+    "classify_attempt_usage",
+    f"WITH {TRIED_CTES}, made AS (SELECT j.*, attempts FROM judged AS j JOIN ended AS e ON e.id = j.id AND attempt <= attempts)"
+    " SELECT 'run-' || (CAST(substr(id, 3) AS BIGINT) % 5) AS run_id, count(*) AS observed_model_calls, CAST(sum(CASE WHEN answered THEN attempt * 100 ELSE 0 END) AS BIGINT) AS input_tokens,"
+    " count(CASE WHEN reason IS NULL THEN 1 END) AS succeeded, count(CASE WHEN attempt = attempts AND reason IS NOT NULL THEN 1 END) AS failed_attempt_count_unknown FROM made GROUP BY 1",
+)
+def classify_attempt_usage(spark, sf_dir):
+    """The same attempts as an attempt log, accounted by run."""
+    found = _tried(spark, sf_dir)
+    run = F.concat(F.lit("run-"), F.substring("id", 3, 18).cast("long") % 5)
+    items = found.run_items(run, "v1", 3)
+    summary, reasons = account_usage(found.events(run), items)
+    unknown = reasons.where("reason = 'failed_attempt_count_unknown'").groupBy("run_id").agg(F.sum("occurrences").alias("failed_attempt_count_unknown"))
+    good = items.groupBy("run_id").agg(F.count(F.when(F.col("state") == "succeeded", 1)).alias("succeeded"))
+    return summary.join(good, "run_id").join(unknown, "run_id", "left").select(
+        "run_id", "observed_model_calls", F.col("input_tokens_known_subtotal").cast("long").alias("input_tokens"), "succeeded",
+        F.coalesce("failed_attempt_count_unknown", F.lit(0)).alias("failed_attempt_count_unknown"),
+    )
+
+
 def keyword_model():
     """A stand-in for a model outside Spark: one keyword, vectorised over the batch."""
 
