@@ -1,14 +1,17 @@
 """Format-preserving pseudonyms of personal data, by keyed Feistel permutations, inside Spark's own expressions.
 
-Numbers and dates are replaced only when they are valid (check digit, octets, calendar). Each becomes another valid
-value of its format, and equal values become equal pseudonyms in all documents:
+Numbers and dates are replaced only when they are valid (issuer, length and check digit, octets, areas, calendar). Each
+becomes another valid value of its format, and equal values become equal pseudonyms in all documents:
 
-* card numbers: all digits but the check digit are permuted, the check digit is set anew; separators stay
+* card numbers, bare or in their usual groups with one separator: the issuer's first digits stay, the others but the check
+  digit are permuted, the check digit is set anew; separators stay
 * IPv4 addresses: a permutation of 32-bit numbers
 * dates: a permutation of the days of their 400-year cycle, in the same notation
-* phone numbers and social security numbers: the digits after the country code, punctuation stays
+* social security numbers: a permutation of the valid ones
+* phone numbers (8 to 15 digits with a country code, or ten in the usual notations): the digits after the country code
 * e-mail addresses: letters and digits are permuted among their kind, the last label of the domain stays
-* long hexadecimal secrets: digits and letters are permuted among their kind
+* hexadecimal secrets behind a word that says so (token, password, ...), and access key identifiers: digits and letters are
+  permuted among their kind; a bare checksum or commit hash is no secret
 """
 
 from __future__ import annotations
@@ -18,21 +21,34 @@ from pyspark.sql import functions as F
 
 ROUNDS = 8
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}"
 IPV4 = rf"(?<![0-9.]){_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?![0-9]|\.[0-9])"
 PHONE = (
     r"(?<![0-9+])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
     r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
 )
-SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
+SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 DATE = r"(?<![0-9/-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/-])"
-SECRET = r"(?<![A-Za-z0-9])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![A-Za-z0-9])"
-#: All neighbouring digit groups, of 13 digits or more, as far as no other value begins; the cards are found among the groups.
-CARD = (
-    r"(?<![A-Za-z0-9.-])(?=[0-9](?:[ -]?[0-9]){12})[0-9]++(?![A-Za-z])"
-    rf"(?:[ -](?!{'|'.join((EMAIL, IPV4, PHONE, DATE, SSN))})[0-9]++(?![A-Za-z]))*+"
+SECRET = (
+    r"(?<=(?i:token|secret|password|passwd|pwd|key|bearer)[\"']?[ ]{0,2}[:= ][ ]{0,2}[\"']?)(?:[0-9a-f]{16,128}|[0-9A-F]{16,128})(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"
 )
-_CARD_DIGITS = (13, 19)
+#: The first four digits of 16-digit cards, of 15-digit and of 14-digit ones.
+_FIRST_16 = r"(?:4[0-9]{3}|5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720|6011|65[0-9]{2}|64[4-9][0-9]|35(?:2[89]|[3-8][0-9])|62[0-9]{2})"
+_FIRST_15, _FIRST_14 = r"3[47][0-9]{2}", r"3(?:0[0-5]|[68][0-9])[0-9]"
+
+
+def _card_pattern() -> str:
+    """Bare or in the usual groups; four-digit groups that go on on both sides are a table of numbers."""
+    forms = [rf"{_FIRST_16}[0-9]{{12}}", rf"{_FIRST_15}[0-9]{{11}}", rf"{_FIRST_14}[0-9]{{10}}", r"4[0-9]{12}(?:[0-9]{6})?"]
+    for mark in " -":
+        forms.append(rf"(?:4[0-9]{{3}}|62[0-9]{{2}})(?:{mark}[0-9]{{4}}){{3}}{mark}[0-9]{{3}}(?![0-9])")
+        forms.append(rf"(?:(?<![0-9]{{4}}{mark})|(?!.{{19}}{mark}[0-9]{{4}}(?![0-9]))){_FIRST_16}(?:{mark}[0-9]{{4}}){{3}}")
+        forms += [rf"{_FIRST_15}{mark}[0-9]{{6}}{mark}[0-9]{{5}}", rf"{_FIRST_14}{mark}[0-9]{{6}}{mark}[0-9]{{4}}"]
+    return rf"(?<![A-Za-z0-9.])(?:{'|'.join(forms)})(?![A-Za-z0-9]|\.[0-9])"
+
+
+CARD = _card_pattern()
 #: Longer readings first where two begin at one place.
 PATTERN = "|".join((EMAIL, SECRET, IPV4, PHONE, DATE, SSN, CARD))
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -128,62 +144,49 @@ def _laid_out(pattern: Column, digits: Column) -> Column:
     return F.aggregate(F.split(pattern, ""), start, put)["text"]
 
 
-def _valid_card(digits: Column) -> Column:
-    sized = F.length(digits).between(*_CARD_DIGITS) & digits.rlike("[1-9]")
-    payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    return F.when(sized, _check_digit(payload) == F.substr(digits, F.length(digits)).cast("int")).otherwise(False)
-
-
 def _card(value: Column, key: str) -> Column:
-    """The pseudonym of one valid card."""
+    """The pseudonym of a card with the right check digit, under the same issuer; other numbers stay."""
 
     def changed(digits: Column) -> Column:
+        head = F.substr(digits, F.lit(1), F.lit(4))
+        rest = F.substr(digits, F.lit(5), F.length(digits) - 5)
+        made = _let(F.concat(head, feistel_text(rest, key, "card")), lambda p: F.concat(p, _check_digit(p).cast("string")))
         payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
-        return _laid_out(value, _let(feistel_text(payload, key, "card"), lambda p: F.concat(p, _check_digit(p).cast("string"))))
+        valid = _check_digit(payload) == F.substr(digits, F.length(digits)).cast("int")
+        return F.when(valid, _laid_out(value, made)).otherwise(value)
 
     return _let(_digits(value), changed)
 
 
-def _cards(value: Column, key: str) -> Column:
-    """``text, count``: digit groups with the pseudonyms of the valid cards among them.
-
-    From left to right, the longest valid card that begins at a group and ends at one. An unusual grouping is passed over
-    where a valid card of a usual one (4-4-4-4, 4-6-5 or a single group) begins inside it.
-    """
-
-    def among(groups: Column) -> Column:
-        def joined(first: Column, count: Column) -> Column:
-            return F.array_join(F.slice(groups, first, count), "")
+def _grouped_card(value: Column, key: str) -> Column:
+    """A card of 19 digits, or one of 16 with three other digits behind it."""
+    return _let(_card(value, key), lambda whole: F.when((whole != value) | ~value.rlike("^(?:[0-9]{4}[ -]){4}[0-9]{3}$"), whole).otherwise(
+        F.concat(_card(F.substr(value, F.lit(1), F.lit(19)), key), F.substr(value, F.lit(20)))
+    ))
 
-        def readings(first: Column) -> Column:
-            counts = F.sequence(F.lit(1), F.least(F.lit(_CARD_DIGITS[1]), F.size(groups) - first + 1))
-            return F.filter(counts, lambda n: _valid_card(_digits(joined(first, n))))
 
-        def usual(first: Column, count: Column) -> Column:
-            return joined(first, count).rlike("^(?:[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})[ -]?$")
+def _ssn(value: Column, key: str) -> Column:
+    """A permutation of the valid numbers: areas 001 to 899 without 666, groups from 01, serials from 0001."""
+    part = F.transform(F.split(value, "-"), lambda x: x.cast("long"))
 
-        def chosen(found: Column) -> Column:
-            def step(out: Column, first: Column) -> Column:
-                def clear(n: Column) -> Column:
-                    later = F.filter(F.sequence(first, first + n - 1), lambda k: k > first)
-                    return usual(first, n) | ~F.exists(later, lambda k: F.exists(F.element_at(found, k), lambda m: usual(k, m)))
+    def changed(p: Column) -> Column:
+        area = p[0] - F.when(p[0] > 666, 2).otherwise(1)
+        pair = feistel_pair(area * 99 + p[1] - 1, p[2] - 1, 898 * 99, 9999, key, "ssn")
 
-                def put(count: Column) -> Column:
-                    card = joined(first, F.coalesce(count, F.lit(1)))
-                    return F.struct(
-                        F.concat(out["text"], F.when(count.isNotNull(), _card(card, key)).otherwise(card)).alias("text"),
-                        (out["count"] + F.when(count.isNotNull(), 1).otherwise(0)).alias("count"),
-                        (first + F.coalesce(count, F.lit(1))).alias("next"),
-                    )
+        def told(x: Column) -> Column:
+            place = F.floor(x["left"] / 99)
+            made = (place + F.when(place >= 665, 2).otherwise(1), x["left"] % 99 + 1, x["right"] + 1)
+            return F.concat_ws("-", *[F.lpad(n.cast("string"), width, "0") for n, width in zip(made, (3, 2, 4))])
 
-                return F.when(first < out["next"], out).otherwise(_let(F.array_max(F.filter(F.element_at(found, first), clear)), put))
+        return _let(pair, told)
 
-            start = F.struct(F.lit("").alias("text"), F.lit(0).alias("count"), F.lit(1).alias("next"))
-            return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step)
+    return _let(part, changed)
 
-        return _let(F.transform(F.sequence(F.lit(1), F.size(groups)), readings), chosen)
 
-    return _let(F.regexp_extract_all(value, F.lit("[0-9]+[ -]?"), F.lit(0)), among)
+def _secret(value: Column, key: str) -> Column:
+    identifier = value.rlike("^AKIA[A-Z0-9]{16}$")
+    moved = F.when(identifier, feistel_text(F.substr(value, F.lit(5)), key, "access")).otherwise(feistel_text(value, key, "secret", 6))
+    return F.when(identifier, F.concat(F.lit("AKIA"), moved)).otherwise(moved)
 
 
 def _ipv4(value: Column, key: str) -> Column:
@@ -225,45 +228,50 @@ def _email(value: Column, key: str) -> Column:
     return F.concat(feistel_text(F.substr(value, F.lit(1), F.length(value) - F.length(kept)), key, "email"), kept)
 
 
-def _replaced(value: Column, key: str) -> Column:
-    """``text, count``: one match of ``PATTERN`` with its pseudonyms, and how many values they stand for."""
-    whole = [(SECRET, feistel_text(value, key, "secret", 6)), (IPV4, _ipv4(value, key)), (SSN, _laid_out(value, feistel_text(_digits(value), key, "ssn"))),
-             (PHONE, _phone(value, key)), (DATE, _date(value, key))]
-    out = F.lit(None).cast("string")
-    for pattern, new in reversed(whole):
-        out = F.when(value.rlike(f"^(?:{pattern})$"), new).otherwise(out)
-    out = F.when(value.contains("@"), _email(value, key)).otherwise(out)
+def _shape(pattern: str) -> str:
+    """The pattern for a value on its own, without what has to stand around it."""
+    return rf"^(?:{pattern})$"
 
-    def counted(new: Column) -> Column:
-        one = F.struct(new.alias("text"), (new != value).cast("int").alias("count"))
-        cards = _cards(value, key)
-        return F.when(new.isNotNull(), one).otherwise(F.struct(cards["text"].alias("text"), cards["count"].alias("count")))
 
-    return _let(out, counted)
+def _replaced(value: Column, key: str) -> Column:
+    """One match of ``PATTERN`` with its pseudonym."""
+    secret = r"^(?:[0-9a-f]{16,128}|[0-9A-F]{16,128}|AKIA[A-Z0-9]{16})$"
+    out = F.when(value.rlike(_shape(CARD)), _grouped_card(value, key)).when(value.rlike(secret), _secret(value, key)).otherwise(value)
+    for pattern, new in ((DATE, _date(value, key)), (PHONE, _phone(value, key)), (SSN, _ssn(value, key)), (IPV4, _ipv4(value, key))):
+        out = F.when(value.rlike(_shape(pattern)), new).otherwise(out)
+    return F.when(value.contains("@"), _email(value, key)).otherwise(out)
 
 
 def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one match of ``PATTERN``; an invalid value stays."""
-    return _replaced(value, key)["text"]
+    return _replaced(value, key)
 
 
 def pseudonymised(docs: DataFrame, key: str, text_column: str = "text", count_column: str | None = None) -> DataFrame:
     """``docs`` with personal data in ``text_column`` replaced; ``count_column``, if named, gets the values replaced.
 
-    Null stays null (count 0), all rows and other columns are kept as they are. Texts without ``@`` or a digit are not
-    searched. Equal values get equal pseudonyms under one ``key``, which the caller keeps secret.
+    Null stays null (count 0) and an empty text empty; all rows, repeated ones too, and all other columns are kept as they
+    are, an empty table stays empty. Texts without ``@`` or a digit are not searched; the time of the others grows with
+    their length and their values. A local part of more than 64 characters is no address. Equal values get equal
+    pseudonyms under one ``key``, which the caller keeps secret. A ``count_column`` that ``docs`` has already is refused.
     """
+    if count_column in docs.columns:
+        raise ValueError(f"{count_column!r} is a column already.")
     text = F.col(text_column)
     found, gaps = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.split(text, PATTERN, -1)
-    new = F.transform(found, lambda value: _replaced(value, key))
+    pairs = F.transform(found, lambda value: F.struct(value.alias("old"), _replaced(value, key).alias("new")))
 
     def rebuilt(parts: Column) -> Column:
-        pieces = F.transform(F.sequence(F.lit(0), F.size(parts["new"])), lambda k: F.concat(F.get(parts["gaps"], k), F.coalesce(F.get(parts["new"], k)["text"], F.lit(""))))
-        return F.struct(F.array_join(pieces, "").alias("text"), F.aggregate(parts["new"], F.lit(0), lambda n, x: n + x["count"]).alias("count"))
-
-    searched = F.when(text.rlike("[0-9@]"), _let(F.struct(gaps.alias("gaps"), new.alias("new")), rebuilt))
-    marked = docs.withColumn("_searched", searched)
-    columns = [F.coalesce(F.col("_searched.text"), text).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
+        pieces = F.transform(F.sequence(F.lit(0), F.size(parts["pairs"])), lambda k: F.concat(F.get(parts["gaps"], k), F.coalesce(F.get(parts["pairs"], k)["new"], F.lit(""))))
+        changed = F.filter(parts["pairs"], lambda p: p["old"] != p["new"])
+        return F.struct(F.array_join(pieces, "").alias("text"), F.size(changed).alias("count"))
+
+    searched = F.when(text.rlike("[0-9@]"), _let(F.struct(gaps.alias("gaps"), pairs.alias("pairs")), rebuilt))
+    helper = "_searched"
+    while helper in docs.columns:
+        helper += "_"
+    marked = docs.withColumn(helper, searched)
+    columns = [F.coalesce(F.col(f"{helper}.text"), text).alias(c) if c == text_column else F.col(f"`{c}`") for c in docs.columns]
     if count_column:
-        columns.append(F.coalesce(F.col("_searched.count"), F.lit(0)).alias(count_column))
+        columns.append(F.coalesce(F.col(f"{helper}.count"), F.lit(0)).alias(count_column))
     return marked.select(*columns)
