@@ -234,6 +234,7 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     Other columns of ``docs`` are not read. An empty table gives an empty table.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
 
     def measure(batches):
         """Per document: set key and size. Per task: the n-grams that are frequent in it, with their documents (kind 1)."""
@@ -256,17 +257,17 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                     counted[value] = counted.get(value, 0) + n
             total += len(keys)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([0] * len(keys), pa.int32()), ids.cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
-                ["kind", "doc_id", "set_key", "n", "signature"],
+                [pa.array([0] * len(keys), pa.int32()), ids.cast(pa.int64()), batch.column(2), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())],
+                ["kind", "doc_id", "text_key", "set_key", "n", "signature"],
             )
         held = {k: n for k, n in counted.items() if n * COMMON_SHARE >= total}
         yield pa.RecordBatch.from_arrays(
-            [pa.array([1] * len(held), pa.int32()), pa.array([None] * len(held), pa.int64()), pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64()), pa.nulls(len(held), pa.binary())],
-            ["kind", "doc_id", "set_key", "n", "signature"],
+            [pa.array([1] * len(held), pa.int32()), *[pa.nulls(len(held), pa.int64())] * 2, pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64()), pa.nulls(len(held), pa.binary())],
+            ["kind", "doc_id", "text_key", "set_key", "n", "signature"],
         )
 
     spark = docs.sparkSession
-    measured = settle(rows.mapInArrow(measure, "kind int, doc_id long, set_key long, n long, signature binary"))
+    measured = settle(rows.mapInArrow(measure, "kind int, doc_id long, text_key long, set_key long, n long, signature binary"))
     sets = measured.where("kind = 0").drop("kind", "signature")
     # One document in 256 at least holds each of these, so there are at most 256 times the mean set size of them.
     documents = sets.count()
@@ -276,12 +277,14 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     late = spark.sparkContext.broadcast(late)
 
     def prefixes(batches):
+        told: set[int] = set()  # copies in a task tell their prefix once
         for batch in batches:
             grams_out, keys, sizes = [], [], []
             for _, grams in _gram_sets(batch.column(1), width):
-                if not len(grams):
+                if not len(grams) or (key := _set_key(grams)) in told:
                     continue
-                key, size = _set_key(grams), len(grams)
+                told.add(key)
+                size = len(grams)
                 if len(late.value):
                     spot = np.minimum(np.searchsorted(late.value, grams), len(late.value) - 1)
                     last = late.value[spot] == grams
@@ -328,17 +331,20 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     found = rows.mapInArrow(prefixes, "gram long, set_key long, n int").repartition("gram").sortWithinPartitions("gram", "set_key")
     met = settle(found.mapInArrow(meetings, "meeting long, set_key long, n long").distinct())
 
-    # One document stands for each set.
-    nodes = sets.groupBy("set_key", "n").agg(F.min("doc_id").alias("least_id"))
-    signed = measured.where("kind = 0").select("set_key", "n", F.col("signature").alias("data"))
-    signed = signed.join(met.select("set_key").distinct(), "set_key").groupBy("set_key", "n").agg(F.first("data").alias("data"))
+    # One row stands for each set: the smallest id, null the last, with a hash of its text beside it.
+    stands = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")).alias("stands")
+    nodes = sets.groupBy("set_key", "n").agg(F.min("doc_id").alias("least_id"), stands)
+    # Copies become one signature in each task before they travel.
+    signed = measured.where("kind = 0 AND n > 0").groupBy("set_key").agg(F.first("n").alias("n"), F.first("signature").alias("data"))
+    signed = signed.join(met.select("set_key").distinct(), "set_key", "left_semi")
     drawn = _parts(met, "meeting", "set_key", "n").drop("n").join(settle(signed), "set_key")
     coarse = components(_linked(drawn, 0, percent))
 
     # The texts of groups are read again for the exact walk, one for each set.
-    wanted = settle(coarse.join(nodes, coarse["node"] == nodes["set_key"]).select("least_id", F.col("set_key").alias("wanted"), "root", "n"))
-    dealt = _parts(wanted.select("root", F.col("wanted").alias("set_key"), "least_id", "n"), "root", "set_key", "n")
-    gathered = rows.join(dealt, rows["doc_id"] == F.col("least_id")).select("task", "set_key", "n", F.col("text").cast("binary").alias("data"))
+    wanted = settle(coarse.join(nodes, coarse["node"] == nodes["set_key"]).select("stands", F.col("set_key").alias("wanted"), "root", "n"))
+    dealt = _parts(wanted.select("root", F.col("wanted").alias("set_key"), "stands", "n"), "root", "set_key", "n")
+    of_row = (rows["text_key"] == F.col("stands.text_key")) & rows["doc_id"].eqNullSafe(F.col("stands.doc_id"))
+    gathered = rows.join(dealt, of_row).groupBy("task", "set_key", "n").agg(F.first(F.col("text").cast("binary")).alias("data"))
     classes = components(_linked(gathered, width, percent))
 
     labelled = nodes.join(classes, nodes["set_key"] == classes["node"], "left").select("set_key", "n", "least_id", "root")

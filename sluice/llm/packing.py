@@ -171,5 +171,6 @@ def pack_documents(
     first = settle(rows.mapInArrow(run, _SCHEMA))
     # At most `most_open` sequences of every task are left: a task in 64 takes the rest of 64.
     left = first.where("sequence_id IS NULL")
-    left = left.coalesce(-(-rows.rdd.getNumPartitions() // 64)).mapInArrow(again, _SCHEMA)
+    tasks = len(first.inputFiles())  # each has written a file
+    left = left.coalesce(max(1, -(-tasks // 64))).mapInArrow(again, _SCHEMA)
     return first.where("sequence_id IS NOT NULL").unionByName(left)
