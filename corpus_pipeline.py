@@ -22,36 +22,46 @@ DEMONSTRATION_KEY = "demonstration"
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents' columns with a number for each row, written down so that it stays: ids may be null or repeat."""
+    return settle(docs.select(*COLUMNS).withColumn("_row", F.monotonically_increasing_id()))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble accepts (score of 0.5 or more)."""
+    """Documents that the rule ensemble accepts (score of 0.5 or more).
+
+    Null and empty texts are scored like others, null ids and repeated rows too; without labels all stay.
+    """
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs.select(*COLUMNS), model, score_column="_score").where(F.col("_score") >= 0.5).drop("_score")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest id.
+    """Of each group of near copies (five-word shingles, similarity 0.8) one row, with the smallest id (null the last).
 
-    Documents without words are no copies of each other and all stay; of rows that repeat an id one stays.
+    It works on rows: a different text under a repeated id is no copy, and rows with a null id take part. Texts without
+    words are no copies of each other and all stay. Of repeated rows one stays. An empty table stays empty.
     """
-    classes = ngram_classes(docs, width=5, percent=80)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    nameless = docs.where("doc_id IS NULL").select(*COLUMNS)
-    return docs.join(settle(kept), F.col("doc_id") == F.col("_kept"), "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]).unionByName(nameless)
+    rows = numbered(docs)
+    classes = ngram_classes(rows, id_column="_row", width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
+    kept = rows.select("doc_id", "_row").join(classes, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(settle(kept), "_row", "left_semi").select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    return decontaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Rows without a passage of the benchmark, whatever their id; null and empty texts stay, repeated rows go together."""
+    return decontaminated(numbered(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_column="_row").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with pseudonyms in place of personal data; ``n_chars`` follows the text."""
+    """Documents with pseudonyms in place of personal data; ``n_chars`` follows the text and is null with it. All rows stay."""
     changed = pseudonymised(docs.select(*COLUMNS), DEMONSTRATION_KEY)
     return changed.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in the training sequences."""
+    """Where each piece of each row stands in the training sequences; a null or empty text is one end id."""
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
@@ -68,6 +78,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``, each written and read again. Further columns of the tables are not carried."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir))
