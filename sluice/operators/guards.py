@@ -93,6 +93,13 @@ def outcome_digest(outcomes: DataFrame) -> DataFrame:
     )
 
 
+def item_digest(items: DataFrame) -> DataFrame:
+    """Count and fingerprint of the items (run_id, position, id) that a run plans, as ``outcome_digest`` has them."""
+    return items.groupBy("run_id").agg(
+        F.count("*").alias("item_count"), F.sum(F.xxhash64("position", "id").cast("decimal(38,0)")).alias("item_fingerprint")
+    )
+
+
 def drift_guard(recorded: DataFrame, current: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(run_id, name, sha256) against current (name, sha256): the inputs that changed or disappeared.
 

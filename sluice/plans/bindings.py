@@ -132,6 +132,18 @@ BINDINGS: dict[str, str] = {
                CASE WHEN outcome_state = 'succeeded' THEN CASE WHEN key_number % 97 > 60 AND key_number % 2 = 0 THEN 'v2' ELSE 'v1' END END AS version_prompt,
                CASE WHEN outcome_state = 'succeeded' THEN CASE WHEN key_number % 97 > 80 AND key_number % 3 = 0 THEN 'model-b' ELSE 'model-a' END END AS model
         FROM {outcome_states}""",
+    "trial_results": """
+        SELECT concat('trial-', key_number % 40) AS run_id, key_number % 40 AS run_number, id, key_number,
+               CASE WHEN key_number % 40 IN (3, 13, 23) AND key_number % 3 = 0 THEN 'failed' ELSE 'succeeded' END AS state,
+               CASE WHEN key_number % 40 = 20 AND key_number % 80 = 20 THEN 'v9' ELSE concat('v', key_number % 40 % 4 + 1) END AS version_prompt,
+               CASE WHEN key_number % 40 = 21 AND key_number % 80 = 21 THEN 'model-c' WHEN key_number % 40 = 22 THEN 'model-b' ELSE 'model-a' END AS model
+        FROM {requests} WHERE NOT (key_number % 40 IN (9, 19) AND key_number % 3 = 0)""",
+    "trial_headers": """
+        SELECT DISTINCT run_id, run_number, run_number * 10 AS created_at, concat('v', run_number % 4 + 1) AS prompt_version,
+               CASE WHEN run_number % 4 = 3 THEN 'p-2' ELSE concat('p-', run_number % 4) END AS prompt_sha256,
+               CASE WHEN run_number < 30 THEN 'm-1' ELSE 'm-2' END AS messages_sha256, 'refs' AS references_sha256,
+               CASE WHEN run_number % 5 = 4 THEN 'x-2' ELSE 'x-1' END AS execution
+        FROM {trial_results}""",
     "event_numbers": """
         SELECT event_id, ts, user_id, event_type, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k,
                event_id % 10 AS m

@@ -9,6 +9,7 @@ from sluice.plans import (  # noqa: F401
     language_queries,
     source_queries,
     streaming_queries,
+    trial_queries,
 )
 from sluice.plans.catalog import ORACLES, QUERIES
 
