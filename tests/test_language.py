@@ -1,7 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import language as L
+from sluice.operators.gram_arrays import GramWeights
 
 DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
 SAMPLE = [
@@ -59,6 +61,28 @@ def test_trigrams_cover_the_whole_text(spark):
     assert grams[:4] == [" ab", "ab ", "b c", " cx"] and len(grams) == 50_000 + 4
 
 
+def test_arrays_equal_rows_of_trigrams(spark):
+    """Counting and scoring on arrays against one row for each trigram, with other scripts, long texts and segments cut."""
+    rows = spark.read.parquet(DOCUMENTS).select("doc_id", "lang", "text").unionByName(
+        spark.createDataFrame([(-1, "ru", "Привет мир"), (-2, "zh", "漢字 仮名 漢字仮名"), (-3, None, "no language"), (-4, "en", None), (-5, "en", "1 2"), (-6, "xx", "\U00010428\U00010429\U0001042a \U00010428"), (-7, "en", "ab " * 900_000)], "doc_id long, lang string, text string")
+    )
+    plain = rows.where("lang IS NOT NULL").select("lang", F.explode(L.trigrams(F.col("text"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n"))
+    counted = L.gram_counts(rows, "text", "lang")
+    assert counted.exceptAll(plain).count() == plain.exceptAll(counted).count() == 0
+    profile = L.build_lang_profile(rows)
+    fast, slow = (L.predict_lang(rows, "text", profile, "doc_id", broadcast_rows=n, hot_rows=500) for n in (L.BROADCAST_ROWS, 0))
+    assert fast.exceptAll(slow).count() == 0 and fast.count() == slow.count() == rows.count()
+
+
+def test_weights_with_and_without_cube():
+    grams, langs, weights = ["abc", "abc", "bcd", "xyz", "ж\U00020000漢"], ["b", "a", "a", "b", "c"], np.array([5, 5, 1, 0, 7])
+    texts = ["abc", "abcd", "xyz", "ж\U00020000漢", "qqq", None, "ab", "", "xyzbcd"]
+    known = GramWeights(grams, langs, weights)
+    assert known.cube is None and known.best(texts).to_pylist() == ["a", "a", "b", "c", None, None, None, None, "a"]
+    small = GramWeights(grams[:4], langs[:4], weights[:4])
+    assert small.cube is not None and small.best(texts).to_pylist() == ["a", "a", "b", None, None, None, None, None, "a"]
+
+
 def test_policy_leaves_old_summaries_alone(spark):
     rows = spark.createDataFrame([(True, True), (True, False), (False, False), (False, None)], "summary_changed boolean, summary_accepted boolean")
     assert [row.policy_ok for row in L.policy_scope(rows).collect()] == [True, False, True, True]
