@@ -57,7 +57,7 @@ EMAIL = (
 )
 CNPJ_FORMATTED = r"[0-9]{2}\.[0-9]{3}\.[0-9]{3}/[0-9]{4}-[0-9]{2}"
 CNPJ_BARE = r"[0-9]{14}"
-CNPJ_WORD = r"\bCNPJ"
+CNPJ_WORD = "CNPJ"
 RFC = (
     r"[A-ZÑ&]{3,4}[- ]?[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])[- ]?[A-Z0-9]{3}"
 )
@@ -75,10 +75,10 @@ LOCAL_PHONE = (
 )
 BARE_PHONE = r"[0-9]{10,11}"
 PHONE_WORD = (
-    r"\b(?:tel(?:e(?:fone|fono)|éfono)?|celular|m[oó]vil|whats?app|phone|fone|contato|contacto)"
+    r"(?:tel(?:e(?:fone|fono)|éfono)?|celular|m[oó]vil|whats?app|phone|fone|contato|contacto)"
 )
-REFERENCE_WORD = r"\b(?:ord(?:er|en)?|pedido|ref(?:erencia)?|id)"
-CONTEXT_TAIL = r"\s{0,20}[:#-]?\s{0,20}"
+REFERENCE_WORD = r"(?:ord(?:er|en)?|pedido|ref(?:erencia)?|id)"
+CONTEXT = 24
 
 # ---- Fixed values: identifier and code formats -----------------------------------------------
 VERSION_NAME = r"^v[1-9][0-9]*$"

@@ -1,8 +1,8 @@
 """Personal identifiers to placeholders, as Column expressions only (no Python worker).
 
 The steps run in a fixed order: email, company number, tax ID, country-code phone, local phone, bare phone.
-A word before a number changes its meaning ("pedido 55 1234 5678" is no phone); Java's bounded lookbehind
-expresses that inside one pattern, so the whole mask stays one narrow stage.
+A word before a number changes its meaning ("pedido 55 1234 5678" is no phone). Where that matters the text is taken apart
+into numbers and what lies between them, and each number is judged by exactly the ``CONTEXT`` characters before it.
 """
 
 from pyspark.sql import Column
@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 
+SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
-def _after(word: str) -> str:
-    return f"(?<=(?iuU:{word}{V.CONTEXT_TAIL}))"
 
-
-def _not_after(word: str) -> str:
-    return f"(?<!(?iuU:{word}{V.CONTEXT_TAIL}))"
+def _ends_with(word: str) -> str:
+    """The word at the end of a stretch, with at most a mark and spaces behind it."""
+    return rf"(?iu)(?<![\p{{L}}\p{{N}}_]){word}{SPACE}*[:#-]?{SPACE}*\z"
 
 
 def _bind(value: Column, body) -> Column:
@@ -32,11 +31,38 @@ def _replace_where(text: Column, sign: str, pattern: str, placeholder: str) -> C
     )
 
 
-def _found(number: str, context: str = "") -> str:
-    """A number between edges. The context is looked up only where the number is already there."""
-    if not context:
-        return V.LEFT_EDGE + number + V.RIGHT_EDGE
-    return f"{V.LEFT_EDGE}(?={number}{V.RIGHT_EDGE}){context}{number}{V.RIGHT_EDGE}"
+def _found(number: str) -> str:
+    """A number between edges."""
+    return f"{V.LEFT_EDGE}(?:{number}){V.RIGHT_EDGE}"
+
+
+def _judge_each(text: Column, sign: str, pattern: str, placeholder: str, masked) -> Column:
+    """Every match in its turn: replaced where ``masked(match, characters before it)`` holds.
+
+    The characters before a match are those of the text as it is, earlier matches included. They reach at most over the
+    three matches before, as a match has ten characters at least. All steps are by index, so the time grows with the text.
+    """
+
+    def apart(current: Column) -> Column:
+        parts = F.struct(F.regexp_extract_all(current, F.lit(pattern), F.lit(0)).alias("found"), F.split(current, pattern, -1).alias("gaps"))
+
+        def rebuilt(parts: Column) -> Column:
+            def piece(place: Column) -> Column:
+                def tail(name: str, back: int) -> Column:
+                    value = F.coalesce(F.get(parts[name], place - back), F.lit(""))
+                    return F.substring(value, -V.CONTEXT, V.CONTEXT)
+
+                near = [part for back in (3, 2, 1) for part in (tail("found", back), tail("gaps", back - 1))]
+                before = F.substring(F.concat(*near), -V.CONTEXT, V.CONTEXT)
+                match = F.get(parts["found"], place)
+                new = F.when(match.isNotNull() & masked(match, before), F.lit(placeholder)).otherwise(match)
+                return F.concat(F.get(parts["gaps"], place), F.coalesce(new, F.lit("")))
+
+            return F.array_join(F.transform(F.sequence(F.lit(0), F.size(parts["found"])), piece), "")
+
+        return F.when(current.rlike(sign) & current.rlike(pattern), _bind(parts, rebuilt)).otherwise(current)
+
+    return _bind(text, apart)
 
 
 def mask_email(text: Column) -> Column:
@@ -64,23 +90,10 @@ def cnpj_valid(digits: Column) -> Column:
 
 
 def mask_cnpj(text: Column) -> Column:
-    bare = _found(V.CNPJ_BARE)
-    masked = _replace_where(text, r"[0-9]\.[0-9]{3}/", _found(V.CNPJ_FORMATTED), "[CNPJ]")
-    masked = _replace_where(masked, V.CNPJ_BARE, _found(V.CNPJ_BARE, _after(V.CNPJ_WORD)), "[CNPJ]")
-
-    def mask_valid_runs(current: Column) -> Column:
-        runs = F.filter(F.array_distinct(F.regexp_extract_all(current, F.lit(f"({bare})"), 1)), cnpj_valid)
-        replaced = F.aggregate(
-            runs,
-            current,
-            lambda done, run: F.regexp_replace(
-                done, F.concat(F.lit(V.LEFT_EDGE), run, F.lit(V.RIGHT_EDGE)), F.lit("[CNPJ]")
-            ),
-        )
-        # The per-run pattern varies by row and cannot be precompiled: only rows with a bare run take it.
-        return F.when(current.rlike(V.CNPJ_BARE), replaced).otherwise(current)
-
-    return _bind(masked, mask_valid_runs)
+    """Formatted numbers always; bare ones with valid check digits or behind their name."""
+    named = _ends_with(V.CNPJ_WORD)
+    masked = lambda match, before: match.contains(".") | cnpj_valid(match) | before.rlike(named)
+    return _judge_each(text, r"[0-9]{14}|[0-9]\.[0-9]{3}/", _found(f"{V.CNPJ_FORMATTED}|{V.CNPJ_BARE}"), "[CNPJ]", masked)
 
 
 def mask_rfc(text: Column) -> Column:
@@ -92,11 +105,13 @@ def mask_country_phone(text: Column) -> Column:
 
 
 def mask_local_phone(text: Column) -> Column:
-    return _replace_where(text, "[0-9]{4}", _found(V.LOCAL_PHONE, _not_after(V.REFERENCE_WORD)), "[PHONE]")
+    named = _ends_with(V.REFERENCE_WORD)
+    return _judge_each(text, "[0-9]{4}", _found(V.LOCAL_PHONE), "[PHONE]", lambda match, before: ~before.rlike(named))
 
 
 def mask_bare_phone(text: Column) -> Column:
-    return _replace_where(text, "[0-9]{10}", _found(V.BARE_PHONE, _after(V.PHONE_WORD)), "[PHONE]")
+    named = _ends_with(V.PHONE_WORD)
+    return _judge_each(text, "[0-9]{10}", _found(V.BARE_PHONE), "[PHONE]", lambda match, before: before.rlike(named))
 
 
 MASK_STEPS = (mask_email, mask_cnpj, mask_rfc, mask_country_phone, mask_local_phone, mask_bare_phone)

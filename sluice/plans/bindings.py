@@ -62,6 +62,14 @@ BINDINGS: dict[str, str] = {
         SELECT concat('d-', doc_id) AS id, text FROM {documents}
         UNION ALL SELECT concat('o-', id) AS id, text FROM {identifiers}
         UNION ALL SELECT id, message AS text FROM {tickets}""",
+    "spaced_numbers": """
+        SELECT id, kind, concat('Aviso ', word, repeat(' ', gap), CASE WHEN id % 5 = 0 THEN ':' WHEN id % 5 = 1 THEN '# ' ELSE ' ' END) AS before,
+               CASE kind WHEN 'cnpj' THEN concat('9', lpad(concat('', id), 12, '0'), '9') WHEN 'bare' THEN lpad(concat('', id), 10, '5') ELSE concat('55 1234 ', lpad(concat('', id % 10000), 4, '0')) END AS number
+        FROM (SELECT o_orderkey AS id, o_custkey % 26 AS gap,
+                     CASE o_orderkey % 3 WHEN 0 THEN 'cnpj' WHEN 1 THEN 'bare' ELSE 'local' END AS kind,
+                     CASE o_orderkey % 9 WHEN 0 THEN 'CNPJ' WHEN 3 THEN 'miCNPJ' WHEN 6 THEN 'empresa' WHEN 1 THEN 'celular' WHEN 4 THEN 'micelular' WHEN 7 THEN 'mitel'
+                       WHEN 2 THEN 'pedido' WHEN 5 THEN 'mipedido' ELSE 'id' END AS word
+              FROM {orders}) AS s_""",
     "bare_numbers": """
         SELECT o_orderkey AS id,
                CASE WHEN o_orderkey % 5 = 0 THEN lpad('', 14, concat('', o_custkey % 10))

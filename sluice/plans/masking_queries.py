@@ -68,13 +68,13 @@ def country_sql(text: str) -> str:
 def local_sql(text: str) -> str:
     """Numbers after a reference word are set aside between letters, so the phone pattern passes them by."""
     aside = (
-        f"regexp_replace({text}, '((?i:{V.REFERENCE_WORD}){GAP})({V.LOCAL_PHONE}){RIGHT}', '\\1QZQ\\2QZQ\\3', 'g')"
+        f"regexp_replace({text}, '((?i:\\b{V.REFERENCE_WORD}){GAP})({V.LOCAL_PHONE}){RIGHT}', '\\1QZQ\\2QZQ\\3', 'g')"
     )
     return f"replace({_edged(aside, V.LOCAL_PHONE, 'PHONE')}, 'QZQ', '')"
 
 
 def bare_sql(text: str) -> str:
-    return f"regexp_replace({text}, '((?i:{V.PHONE_WORD}){GAP}){V.BARE_PHONE}{RIGHT}', '\\1[PHONE]\\2', 'g')"
+    return f"regexp_replace({text}, '((?i:\\b{V.PHONE_WORD}){GAP}){V.BARE_PHONE}{RIGHT}', '\\1[PHONE]\\2', 'g')"
 
 
 def masked_ctes(source: str, text: str, columns: str) -> str:
@@ -105,6 +105,22 @@ query("mask_bare_phone", f"SELECT id, {bare_sql('text')} AS masked FROM {{texts}
 query("mask_pii", f"WITH {masked_ctes('{texts}', 'text', 'id')} SELECT id, masked FROM m7")(_masked_with(M.mask_pii))
 
 
+def _behind(word: str, before: str) -> str:
+    return f"regexp_matches(right({before}, 24), '(?i)\\b{_quoted(word)}\\s*[:#-]?\\s*$')"
+
+
+@query(
+    "mask_context",
+    f"SELECT id, CASE WHEN kind = 'cnpj' AND ({cnpj_valid_sql('number')} OR " + _behind("CNPJ", "before") + ") THEN concat(before, '[CNPJ] fin')"
+    " WHEN kind = 'bare' AND " + _behind(V.PHONE_WORD, "before") + " THEN concat(before, '[PHONE] fin')"
+    " WHEN kind = 'local' AND NOT " + _behind(V.REFERENCE_WORD, "before") + " THEN concat(before, '[PHONE] fin') ELSE concat(before, number, ' fin') END AS masked FROM {spaced_numbers}",
+)
+def mask_context(spark, sf_dir):
+    """Numbers at every distance from the word that decides about them, the word cut by the window included."""
+    rows = bind_spread(spark, sf_dir, "spaced_numbers").withColumn("text", F.concat("before", "number", F.lit(" fin")))
+    return rows.select("id", M.mask_pii(F.col("text")).alias("masked"))
+
+
 @query(
     "mask_summary",
     f"WITH {masked_ctes('{documents}', 'text', 'lang, source, text')} "
