@@ -248,6 +248,16 @@ BINDINGS: dict[str, str] = {
                  ELSE concat('{"id":"', o_orderkey, '","mensaje":null}')
                END AS payload
         FROM {orders}""",
+    "message_lines": """
+        SELECT o_orderkey AS number,
+               CASE o_orderkey % 9
+                 WHEN 0 THEN concat('{"id":', o_orderkey, ',"source_area":"a","message":"m","extra":1}')
+                 WHEN 1 THEN concat('{"id":"k', o_orderkey, '","source_area":"a"}')
+                 WHEN 2 THEN concat('{"id":"k', o_orderkey, '","source_area":" ","message":""}')
+                 WHEN 3 THEN concat('{"id":"k', o_orderkey, '","source_area":"a","message":"m"} resto')
+                 ELSE concat('{"id":"k', o_orderkey, '","source_area":"area } ', o_custkey, '","message":"', o_orderpriority, '"}')
+               END AS line
+        FROM {orders}""",
     "change_sets": """
         SELECT concat('r-', user_id) AS id, ts, event_id AS seq,
                CASE k % 9

@@ -1,5 +1,6 @@
 """File sources and sinks, each written by Spark from the given tables and read back."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
@@ -7,6 +8,7 @@ from sluice.operators import evaluation as E
 from sluice.plans.bindings import bind
 from sluice.plans.catalog import query
 from sluice.plans.evaluation_queries import ALL_OK, MISMATCH_SQL, SCORED
+from sluice.sources import strict
 from sluice.sources.export import export_results, write_report
 from sluice.sources.files import load_messages, load_references, load_results
 from sluice.sources.runs import load_runs, run_outcomes
@@ -96,3 +98,66 @@ def report(spark, sf_dir):
     path = new_folder(spark, "report")
     write_report({name: parts[name] for name in sections}, path)
     return spark.read.text(path).select("section", F.col("value").alias("body"))
+
+
+@query(
+    "src_messages_checked",
+    "SELECT line AS record, CASE number % 9 WHEN 0 THEN 'type:id,unknown:extra' WHEN 1 THEN 'missing:message' WHEN 2 THEN 'blank:message,blank:source_area' WHEN 3 THEN 'not_json' ELSE '' END AS reasons,"
+    " CASE WHEN number % 9 > 3 THEN concat('k', number) END AS id FROM {message_lines}",
+)
+def messages_checked(spark, sf_dir):
+    """Lines of which some are no messages: typed rows and rejected ones, with every reason."""
+    path = new_folder(spark, "message-lines")
+    bind(spark, sf_dir, "message_lines").select("line").write.text(path)
+    rows, rejected = strict.messages(spark, path)
+    record = F.to_json(F.struct("id", "source_area", "message"))
+    return rows.select(record.alias("record"), F.lit("").alias("reasons"), "id").unionByName(
+        rejected.select("record", F.array_join(F.array_sort("reasons"), ",").alias("reasons"), F.lit(None).cast("string").alias("id"))
+    )
+
+
+def _as_array_file(batches):
+    """The rows of a task as one pretty-printed array."""
+    first = True
+    for batch in batches:
+        yield batch.assign(value=[("[" if first and k == 0 else ",") + "\n  " + v for k, v in enumerate(batch["value"])]) if len(batch) else batch
+        first = first and not len(batch)
+    yield pd.DataFrame({"value": ["[]" if first else "]"]})
+
+
+RESULT_ROWS = "SELECT *, CASE WHEN key_number % 10 = 3 THEN 1.5 ELSE confianza END AS sure, CASE WHEN key_number % 10 = 4 THEN 'queja' ELSE categoria END AS label FROM {requests}"
+
+
+@query(
+    "src_results_checked",
+    f"SELECT id, CASE WHEN key_number % 10 = 3 THEN 'confidence_range' WHEN key_number % 10 = 4 THEN 'enum:categoria' ELSE '' END AS reasons FROM ({RESULT_ROWS}) AS r",
+)
+def results_checked(spark, sf_dir):
+    """Results in array files, cut at their records; some labels and confidences break the contract."""
+    rows = spark.sql(RESULT_ROWS, requests=bind(spark, sf_dir, "requests"))
+    fields = [F.col("label").alias("categoria") if n == "categoria" else F.col("sure").alias("confianza") if n == "confianza" else F.lit("v1").alias(n) if n == "version_prompt" else F.col(n) for n in V.CLASSIFICATION_FIELDS]
+    records = rows.repartition(4).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false", "pretty": "true"}).alias("value"))
+    path = new_folder(spark, "result-arrays")
+    records.mapInPandas(_as_array_file, "value string").write.text(path)
+    good, rejected = strict.results(spark, path, array=True)
+    return good.select("id", F.lit("").alias("reasons")).unionByName(
+        rejected.select(F.get_json_object("record", "$.id").alias("id"), F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
+    )
+
+
+COVERED = "SELECT key_number AS position, id, CASE WHEN key_number % 16 = 5 THEN '' ELSE raw_message END AS text, CASE WHEN key_number % 16 = 6 THEN key_number + 1 ELSE key_number END AS found FROM {requests}"
+
+
+@query(
+    "coverage_trials",
+    f"WITH c AS ({COVERED}) SELECT id, CASE WHEN position % 16 = 4 THEN 'missing' WHEN position % 16 = 7 THEN 'duplicate' WHEN position % 16 = 5 THEN 'empty_text' WHEN position % 16 = 6 THEN 'out_of_order' ELSE 'ok' END AS status FROM c"
+    " UNION ALL SELECT concat('x-', id), 'unexpected' FROM c WHERE position % 16 = 1",
+)
+def coverage_trials(spark, sf_dir):
+    """Fixtures that are covered, and others in every way not."""
+    rows = spark.sql(COVERED, requests=bind(spark, sf_dir, "requests"))
+    there = rows.where("position % 16 <> 4").select("id", F.col("found").alias("position"), "text")
+    strange = rows.where("position % 16 = 1").select(F.concat(F.lit("x-"), "id").alias("id"), "position", "text")
+    twice = rows.where("position % 16 = 7").select("id", "position", "text")
+    found = there.unionByName(twice).unionByName(strange)
+    return E.check_coverage(rows.select("id", "position"), found, ["text"])
