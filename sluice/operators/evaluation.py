@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
+from sluice.sources.workspace import settle
 
-BUCKETS = 1 << 20
+BUCKETS, FEW_VALUES = 1 << 16, 50_000
 
 
 def reference_columns(references: DataFrame) -> DataFrame:
@@ -60,10 +61,20 @@ def mismatch_array() -> Column:
     return F.when(F.col("succeeded"), wrong).otherwise(F.slice(entries, 1, 0))
 
 
+def one_outcome_each(outcomes: DataFrame) -> DataFrame:
+    """One row per ID with ``rows``, how many outcomes it was given; an ID that is given twice becomes one row here."""
+    others = [name for name in outcomes.columns if name != "id"]
+    reduced = outcomes.groupBy("id").agg(F.count("*").alias("rows"), F.min(F.struct(*others)).alias("_o"))
+    return reduced.select("id", "rows", *[F.col(f"_o.{name}").alias(name) for name in others])
+
+
 def score_join(references: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """One row per reference with state, mismatches and whether all fields are right."""
-    joined = references.join(outcomes, "id", "left")
-    joined = joined.withColumn("state", F.coalesce("state", F.lit("missing")))
+    """One row per reference with state, mismatches and whether all fields are right.
+
+    A reference with several outcomes has the state ``repeated`` and none of them counts.
+    """
+    joined = references.join(one_outcome_each(outcomes), "id", "left")
+    joined = joined.withColumn("state", F.when(F.col("rows") > 1, "repeated").otherwise(F.coalesce("state", F.lit("missing")))).drop("rows")
     joined = joined.withColumn("succeeded", F.col("state") == "succeeded")
     exact = F.col("succeeded")
     for name in V.SCORED_FIELDS:
@@ -71,6 +82,15 @@ def score_join(references: DataFrame, outcomes: DataFrame) -> DataFrame:
     return joined.select("*", mismatch_array().alias("mismatches"), exact.alias("exact"))
 
 
+def refused_outcomes(references: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(id, reason, rows) of outcomes that no score may use: ``repeated`` IDs and ``unexpected`` ones without a reference."""
+    counted = outcomes.groupBy("id").agg(F.count("*").alias("rows"))
+    known = references.select("id", F.lit(True).alias("_known"))
+    joined = counted.join(known, "id", "left")
+    reasons = F.array_compact(F.array(F.when(F.col("rows") > 1, "repeated"), F.when(F.col("_known").isNull(), "unexpected")))
+    return joined.select("id", F.explode(reasons).alias("reason"), "rows")
+
+
 def mismatch_unnest(scored: DataFrame) -> DataFrame:
     return scored.select("id", F.explode("mismatches").alias("m")).select("id", "m.field", "m.expected", "m.actual")
 
@@ -136,28 +156,38 @@ def failure_category_counts(scored: DataFrame) -> DataFrame:
     return rows.groupBy("category").agg(F.count("*").alias("failures"))
 
 
-def grouped_median(counted: DataFrame, group: str, value: str, count: str) -> DataFrame:
-    """Exact median per group from (group, value, count) with values in [0, 1].
+def grouped_median(
+    counted: DataFrame, group: str, value: str, count: str, buckets: int = BUCKETS, few: int = FEW_VALUES
+) -> DataFrame:
+    """Exact median per group from (group, value, count), one row for each different value.
 
-    Ranks are located in a bounded histogram first, so no window spans more than the histogram's buckets or
-    the distinct values of one bucket.
+    The range that holds the middle is cut into equal buckets, and the buckets that hold it are cut again, until at most
+    ``few`` different values of a group are left; only those are put in order. So no window spans more rows than
+    ``buckets`` or ``few``, however close together the values lie.
     """
-    bucket = F.greatest(F.lit(0), F.least(F.floor(F.col(value) * BUCKETS), F.lit(BUCKETS - 1)))
-    rows = counted.withColumn("_bucket", bucket)
-    histogram = rows.groupBy(group, "_bucket").agg(F.sum(count).alias("_in"))
-    ordered = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
-    totals = rows.groupBy(group).agg(F.sum(count).alias("_all"))
+    span = [F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count("*").alias("_values")]
+    state = settle(counted.groupBy(group).agg(F.sum(count).alias("_all"), *span).withColumn("_before", F.lit(0).cast("long")))
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
-    holding = (
-        histogram.withColumn("_upto", F.sum("_in").over(ordered))
-        .join(totals, group)
-        .where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_in") < high))
-        .select(group, "_bucket", "_all", (F.col("_upto") - F.col("_in")).alias("_before"))
-    )
-    inside = W.partitionBy(group, "_bucket").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = rows.join(holding, [group, "_bucket"]).withColumn(
-        "_to", F.col("_before") + F.sum(count).over(inside)
-    )
+
+    def middle(rows: DataFrame) -> DataFrame:
+        """Rows inside their group's range; the ranges are one row for each group."""
+        return rows.join(state, group).where(F.col(value).between(F.col("_lo"), F.col("_hi")))
+
+    while (state.agg(F.max("_values")).first()[0] or 0) > few:
+        part = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * buckets
+        place = F.least(F.floor(F.coalesce(part, F.lit(0))), F.lit(buckets - 1)).alias("_bucket")
+        cut = middle(counted).select(group, value, count, "_all", "_before", place)
+        histogram = cut.groupBy(group, "_bucket", "_all", "_before").agg(F.sum(count).alias("_in"), *span)
+        ordered = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, 0)
+        ranked = histogram.withColumn("_upto", F.col("_before") + F.sum("_in").over(ordered))
+        holding = ranked.where((F.col("_upto") >= low) & (F.col("_upto") - F.col("_in") < high))
+        state = settle(
+            holding.groupBy(group, "_all").agg(
+                F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"), F.sum("_values").alias("_values"), F.min(F.col("_upto") - F.col("_in")).alias("_before")
+            )
+        )
+    inside = W.partitionBy(group).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ranked = middle(counted).withColumn("_to", F.col("_before") + F.sum(count).over(inside))
 
     def holds(rank: Column) -> Column:
         return F.max(F.when((F.col("_to") >= rank) & (F.col("_to") - F.col(count) < rank), F.col(value)))
@@ -198,8 +228,12 @@ def highest_confidence_mistakes(scored: DataFrame, k: int | None = None) -> Data
 
 
 def score(references: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
-    """The whole score report as narrow DataFrames."""
-    scored = score_join(references, outcomes)
+    """The whole score report as narrow DataFrames.
+
+    References and outcomes are joined once and written down; every section reads that table. ``refused`` lists the
+    outcomes that no section counts.
+    """
+    scored = settle(score_join(references, outcomes))
     return {
         "fields": field_accuracy(scored),
         "overall_exact_fields": overall_accuracy(scored),
@@ -212,6 +246,7 @@ def score(references: DataFrame, outcomes: DataFrame) -> dict[str, DataFrame]:
         "confidence": confidence_stats(scored),
         "lowest_successful": lowest_confidence(scored),
         "highest_confidence_mistakes": highest_confidence_mistakes(scored),
+        "refused": refused_outcomes(references, outcomes),
     }
 
 

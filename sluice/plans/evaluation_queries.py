@@ -1,5 +1,8 @@
 """Scoring, comparison and run guards."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
@@ -267,6 +270,62 @@ def single_version(spark, sf_dir):
     return G.single_version(bind(spark, sf_dir, "run_results"))
 
 
+# Outcomes of which some are given twice and some have no reference.
+GIVEN = (
+    "SELECT * FROM {outcomes_v1} UNION ALL SELECT * FROM {outcomes_v1} WHERE CAST(substr(id, 3) AS BIGINT) % 17 = 0"
+    " UNION ALL SELECT concat('x-', id) AS id, state, failure_category, categoria, prioridad, area_sugerida, idioma, requiere_info, confianza FROM {outcomes_v1} WHERE CAST(substr(id, 3) AS BIGINT) % 19 = 0"
+)
+_RIGHT = ", ".join(f"coalesce(o.state = 'succeeded' AND ref_{f} IS NOT DISTINCT FROM {f}, false) AS ok_{f}" for f in FIELDS)
+_DIFFERS = " UNION ALL ".join(
+    f"SELECT 'mismatches', id, concat('{f}:', coalesce(CAST(ref_{f} AS VARCHAR), ''), ':', coalesce(CAST({f} AS VARCHAR), '')), CAST(NULL AS DOUBLE) FROM s WHERE done AND NOT ok_{f}" for f in FIELDS
+)
+_MEDIAN = "SELECT 'confidence', CASE WHEN {ok} THEN 'exact' ELSE 'disagreement' END, '{name}', {value} FROM s WHERE done GROUP BY 2"
+
+
+@query(
+    "score_report",
+    f"WITH given AS ({GIVEN}), n AS (SELECT id, count(*) AS rows FROM given GROUP BY id), u AS (SELECT g.* FROM given AS g JOIN n USING (id) WHERE rows = 1),"
+    f" s AS (SELECT r.*, o.* EXCLUDE (id, state), CASE WHEN rows > 1 THEN 'repeated' ELSE coalesce(o.state, 'missing') END AS state, coalesce(o.state = 'succeeded', false) AS done, {_RIGHT}"
+    " FROM {reference_labels} AS r LEFT JOIN n ON n.id = r.id LEFT JOIN u AS o ON o.id = r.id)"
+    + " UNION ALL ".join([
+        *[f" SELECT 'fields' AS section, '{f}' AS name, '' AS detail, CAST(count(CASE WHEN ok_{f} THEN 1 END) AS DOUBLE) AS amount FROM s" for f in FIELDS],
+        "SELECT 'overall_exact_fields', '', '', CAST(" + " + ".join(f"count(CASE WHEN ok_{f} THEN 1 END)" for f in FIELDS) + " AS DOUBLE) FROM s",
+        f"SELECT 'all_five_fields', '', '', CAST(count(CASE WHEN {ALL_OK} THEN 1 END) AS DOUBLE) FROM s",
+        f"SELECT 'exact_message_ids', id, '', NULL FROM s WHERE {ALL_OK}",
+        _DIFFERS,
+        "SELECT 'failures', id, concat(state, ':', CASE WHEN state = 'failed' THEN coalesce(failure_category, 'execution_error') ELSE '' END), NULL FROM s WHERE NOT done",
+        "SELECT 'failure_counts', state, '', CAST(count(*) AS DOUBLE) FROM s WHERE NOT done GROUP BY state",
+        "SELECT 'failure_category_counts', coalesce(failure_category, 'execution_error'), '', CAST(count(*) AS DOUBLE) FROM s WHERE state = 'failed' GROUP BY 2",
+        _MEDIAN.format(ok=ALL_OK, name="count", value="CAST(count(*) AS DOUBLE)"), _MEDIAN.format(ok=ALL_OK, name="mean", value="round(avg(confianza), 9)"),
+        _MEDIAN.format(ok=ALL_OK, name="median", value="round(median(confianza), 9)"),
+        "SELECT 'lowest_successful', id, '', confianza FROM s WHERE done",
+        f"SELECT 'highest_confidence_mistakes', id, '', confianza FROM s WHERE done AND NOT ({ALL_OK})",
+        "SELECT 'refused', id, 'repeated', CAST(rows AS DOUBLE) FROM n WHERE rows > 1",
+        "SELECT 'refused', id, 'unexpected', CAST(rows AS DOUBLE) FROM n WHERE id NOT IN (SELECT id FROM {reference_labels})",
+    ]),
+)
+def score_report(spark, sf_dir):
+    """All sections of the report of a run whose outcomes are partly refused, from one join."""
+    given = spark.sql(GIVEN, outcomes_v1=bind(spark, sf_dir, "outcomes_v1"))
+    parts = E.score(bind(spark, sf_dir, "reference_labels"), given)
+    nothing, none = F.lit(""), F.lit(None).cast("double")
+    text = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(""))
+    rows = {
+        "fields": [("field", nothing, F.col("correct"))], "overall_exact_fields": [(None, nothing, F.col("correct"))], "all_five_fields": [(None, nothing, F.col("correct"))],
+        "exact_message_ids": [("id", nothing, none)], "mismatches": [("id", F.concat_ws(":", "field", text("expected"), text("actual")), none)],
+        "failures": [("id", F.concat_ws(":", "state", text("category")), none)], "failure_counts": [("state", nothing, F.col("failures"))],
+        "failure_category_counts": [("category", nothing, F.col("failures"))],
+        "confidence": [("group", F.lit(n), F.round(F.col(n).cast("double"), 9)) for n in ("count", "mean", "median")],
+        "lowest_successful": [("id", nothing, F.col("confidence"))], "highest_confidence_mistakes": [("id", nothing, F.col("confidence"))],
+        "refused": [("id", F.col("reason"), F.col("rows"))],
+    }
+    whole = [
+        parts[section].select(F.lit(section).alias("section"), (F.col(name) if name else nothing).alias("name"), detail.alias("detail"), amount.cast("double").alias("amount"))
+        for section, forms in rows.items() for name, detail, amount in forms
+    ]
+    return reduce(DataFrame.unionByName, whole)
+
+
 HEADERS_SQL = (
     "SELECT DISTINCT run_id, run_number, CASE WHEN run_number % 19 = 0 THEN 2 ELSE 1 END AS schema_version, 'v1' AS prompt_version,"
     " concat('in-', run_number % 4) AS inputs, concat('ex-', run_number % 3) AS execution FROM {run_results}"

@@ -118,3 +118,36 @@ def test_comparability_with_one_popular_baseline(spark):
         found = {(row.baseline, row.candidate): row.reasons for row in G.comparability(pairs, runs, hot_rows).collect()}
         assert found["r0", "r1"] == [] and found["r0", "r2"] == ["same_prompt_version", "same_prompt_text"]
         assert found["r1", "r4"] == ["incomplete"] and found["r0", "r99"] == ["unknown_run"] and len(found) == 9
+
+
+def test_repeated_and_unexpected_outcomes_are_refused(spark):
+    references = spark.createDataFrame([("a", "bug"), ("b", "bug"), ("c", "bug")], "id string, ref_categoria string")
+    outcomes = spark.createDataFrame([("a", "succeeded"), ("b", "succeeded"), ("b", "succeeded"), ("b", "failed"), ("z", "succeeded")], "id string, state string")
+    for name in V.SCORED_FIELDS:
+        kind = "boolean" if name == "requiere_info" else "string"
+        value = F.lit("bug") if name == "categoria" else F.lit(None).cast(kind)
+        outcomes = outcomes.withColumn(name, value)
+        if name != "categoria":
+            references = references.withColumn(f"ref_{name}", F.lit(None).cast(kind))
+    outcomes = outcomes.withColumn("failure_category", F.lit(None).cast("string")).withColumn("confianza", F.lit(0.5))
+    parts = E.score(references, outcomes)
+    assert {(r.field, r.correct, r.total) for r in parts["fields"].collect()} == {(f, 1, 3) for f in V.SCORED_FIELDS}
+    assert {(r.id, r.state) for r in parts["failures"].collect()} == {("b", "repeated"), ("c", "missing")}
+    assert {(r.id, r.reason, r.rows) for r in parts["refused"].collect()} == {("b", "repeated", 3), ("z", "unexpected", 1)}
+    plan = parts["mismatches"]._jdf.queryExecution().toString()
+    assert "Join" not in plan  # the sections read one settled join
+
+
+def test_median_of_values_that_lie_close_together(spark):
+    """Ten thousand values in one part of a million million, and a group of one value; windows of at most 16 rows."""
+    rows = [("near", 0.5 + k * 1e-15, 1 + k % 3) for k in range(0, 20_000, 2)] + [("one", 0.25, 7)] + [("two", 0.1, 1), ("two", 0.9, 1)] + [("far", k / 999, 1) for k in range(1000)]
+    merged = {}
+    for group, value, n in rows:
+        merged[group, value] = merged.get((group, value), 0) + n
+    table = spark.createDataFrame([(g, v, n) for (g, v), n in merged.items()], "g string, v double, n long")
+    found = {r.g: r.median for r in E.grouped_median(table, "g", "v", "n", buckets=16, few=8).collect()}
+    for group in ("near", "one", "two", "far"):
+        values = sorted(v for (g, v), n in merged.items() if g == group for _ in range(n))
+        middle = (values[(len(values) - 1) // 2] + values[len(values) // 2]) / 2
+        assert found[group] == middle, group
+    assert E.grouped_median(table.limit(0), "g", "v", "n").count() == 0
