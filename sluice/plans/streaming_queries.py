@@ -5,21 +5,14 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice.operators import requests as R
-from sluice.plans.accounting_queries import LOG_LINE, LOG_RUN
+from sluice.plans.accounting_queries import LOG_RUN
 from sluice.plans.bindings import ARRIVAL, bind, stored_requests
 from sluice.plans.catalog import ORACLES, query, stamp, stamp_sql
 from sluice.plans.request_queries import ORDER
 from sluice.sources.workspace import new_folder
 from sluice.streaming.corrections import requests_table, resume_corrections
 from sluice.streaming.intake import stream_intake
-from sluice.streaming.usage import stream_usage, tail_lines
-
-
-def _latest(spark, path: str, prefix: str) -> int:
-    """Highest batch or version number below a folder, from the directory names that Spark lists."""
-    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    number = F.regexp_extract("path", rf"{prefix}=(\d+)/", 1).cast("int")
-    return names.select(F.max(number)).first()[0]
+from sluice.streaming.usage import latest_usage, stream_usage, tail_lines
 
 
 def arrive(rows: DataFrame, path: str, part: Column, parts: range):
@@ -92,19 +85,29 @@ def correction_rejects(spark, sf_dir):
     return spark.read.parquet(_stream_corrections(spark, sf_dir)[1]).select("id", "seq", "reason")
 
 
+USAGE_LINE = """CASE WHEN k = 1 THEN 'not json' WHEN k = 2 THEN '[1]'
+    ELSE concat('{"event":"model_call","message_id":"', message_id, '","input_tokens":', CASE WHEN k % 7 = 3 THEN 'null' ELSE concat('', k) END,
+        ',"output_tokens":', CASE WHEN k % 5 = 3 THEN '"9"' ELSE concat('', k * 2) END, ',"estimated_cost_usd":', CASE WHEN k % 4 = 3 THEN 'null' ELSE '0.25' END, '}') END"""
+
+
 @query(
     "stream_usage",
-    f"SELECT {LOG_RUN} AS run_id, count(CASE WHEN k NOT BETWEEN 1 AND 4 THEN 1 END) AS observed_model_calls, count(CASE WHEN k BETWEEN 1 AND 4 THEN 1 END) AS invalid_lines,"
-    " CAST(coalesce(sum(CASE WHEN k NOT BETWEEN 1 AND 4 AND k <> 7 THEN k END), 0) AS BIGINT) AS input_tokens FROM {attempt_numbers} GROUP BY 1",
+    f"SELECT {LOG_RUN} AS run_id, count(CASE WHEN k > 2 THEN 1 END) AS observed_model_calls, count(CASE WHEN k <= 2 THEN 1 END) AS invalid_lines,"
+    " CAST(coalesce(sum(CASE WHEN k > 2 AND k % 7 <> 3 THEN k END), 0) AS BIGINT) AS input_tokens, CAST(coalesce(sum(CASE WHEN k > 2 AND k % 5 <> 3 THEN k * 2 END), 0) AS BIGINT) AS output_tokens,"
+    " CAST(count(CASE WHEN k > 2 AND k % 4 <> 3 THEN 1 END) AS DOUBLE) / 4 AS cost_usd FROM {attempt_numbers} WHERE k > 0 GROUP BY 1",
 )
 def usage(spark, sf_dir):
+    """Logs that grow three times; totals of the runs that grew are written, and the last ones read back."""
     base = new_folder(spark, "stream-usage")
-    lines = bind(spark, sf_dir, "attempt_numbers").selectExpr(f"{LOG_RUN} AS run_id", f"{LOG_LINE} AS value")
-    lines.write.partitionBy("run_id").text(f"{base}/log")
-    stream_usage(tail_lines(spark, f"{base}/log"), f"{base}/totals", f"{base}/checkpoint").awaitTermination()
-    totals = spark.read.parquet(f"{base}/totals/batch={_latest(spark, f'{base}/totals', 'batch')}")
-    return totals.select(
-        "run_id", "observed_model_calls", "invalid_lines", F.col("input_tokens_known_subtotal").alias("input_tokens")
+    rows = bind(spark, sf_dir, "attempt_numbers").where("k > 0")
+    for part in range(3):
+        # The last part holds lines of some runs only.
+        lines = rows.where(F.when(F.col("m") < 4, F.col("line") % 3).otherwise(F.col("line") % 2) == part)
+        lines.selectExpr(f"{LOG_RUN} AS run_id", f"{USAGE_LINE} AS value").write.mode("append").partitionBy("run_id").text(f"{base}/log")
+        stream_usage(tail_lines(spark, f"{base}/log"), f"{base}/totals", f"{base}/checkpoint").awaitTermination()
+    return latest_usage(spark, f"{base}/totals").select(
+        "run_id", "observed_model_calls", "invalid_lines", F.col("input_tokens_known_subtotal").alias("input_tokens"),
+        F.col("output_tokens_known_subtotal").alias("output_tokens"), F.col("estimated_cost_usd_known_subtotal").cast("double").alias("cost_usd"),
     )
 
 

@@ -38,14 +38,24 @@ def running_usage(lines: DataFrame) -> DataFrame:
 
 
 def stream_usage(lines: DataFrame, output_path: str, checkpoint_path: str):
-    """Keep the latest totals of every run: each batch rewrites the folder of its own number."""
+    """Write, for each batch, the new totals of the runs that it touches, into the folder of its own number.
+
+    Other runs are neither read nor written again: their totals stand in an earlier batch's folder.
+    """
 
     def write_totals(totals: DataFrame, number: int) -> None:
         totals.write.mode("overwrite").parquet(f"{output_path}/batch={number}")
 
     return (
-        running_usage(lines).writeStream.outputMode("complete").foreachBatch(write_totals)
+        running_usage(lines).writeStream.outputMode("update").foreachBatch(write_totals)
         .option("checkpointLocation", checkpoint_path)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_usage(spark: SparkSession, output_path: str) -> DataFrame:
+    """Totals of every run as of its last batch."""
+    written = spark.read.parquet(output_path)
+    names = [name for name in written.columns if name not in ("run_id", "batch")]
+    return written.groupBy("run_id").agg(F.max_by(F.struct(*names), "batch").alias("_t")).select("run_id", "_t.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sluice.operators.requests import effective_classification
 from sluice.streaming.corrections import requests_table, resume_corrections, stream_corrections
 from sluice.streaming.intake import FIRSTS, decide_intake, request_states, stage_intake, stream_intake
-from sluice.streaming.usage import stream_usage, tail_lines
+from sluice.streaming.usage import latest_usage, stream_usage, tail_lines
 from tests.test_corrections import BASE, START, _request, _table
 from sluice import schemas
 
@@ -126,6 +126,10 @@ def test_running_usage_grows_with_the_log(spark, tmp_path):
     _arrive(log / "run_id=b", "1.jsonl", [event(1)])
     _arrive(log / "run_id=a", "2.jsonl", [event(3)])
     stream_usage(tail_lines(spark, str(log)), *paths).awaitTermination()
-    last = spark.read.parquet(paths[0]).where(F.col("batch") == 1).collect()
+    _arrive(log / "run_id=b", "3.jsonl", [event(2)])
+    stream_usage(tail_lines(spark, str(log)), *paths).awaitTermination()
+    written = {n: {r.run_id for r in spark.read.parquet(paths[0]).where(F.col("batch") == n).collect()} for n in range(3)}
+    assert written == {0: {"a"}, 1: {"a", "b"}, 2: {"b"}}  # only the runs that grew
+    last = latest_usage(spark, paths[0]).collect()
     found = {row.run_id: (row.observed_model_calls, row.invalid_lines, row.input_tokens_known_subtotal, float(row.estimated_cost_usd_known_subtotal)) for row in last}
-    assert found == {"a": (3, 1, 30, 1.5), "b": (1, 0, 10, 0.5)}
+    assert found == {"a": (3, 1, 30, 1.5), "b": (2, 0, 20, 1.0)}
