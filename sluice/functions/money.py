@@ -5,15 +5,20 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 
-TOKENS = "decimal(12,0)"
-PRICE = "decimal(12,6)"
+TOKENS = "decimal(15,0)"
+PRICE = "decimal(18,12)"
+#: Tokens times prices, before they are divided by a million: up to 10^16, to the twelfth place.
+MILLIONS = "decimal(28,12)"
 COST = "decimal(38,12)"
 
 
 def cost_expression(
     given: Column, produced: Column, cached: Column, price_in: Column, price_out: Column, price_cached: Column
 ) -> Column:
-    """Exact decimal cost; null where a price or count is unknown or the counts contradict each other."""
+    """Exact decimal cost to the twelfth place; null where a price or count is unknown or the counts contradict each other.
+
+    Counts may have 15 digits, prices 6 before and 12 behind the point.
+    """
     used = F.coalesce(cached, F.lit(0)).try_cast(TOKENS)
     total = (
         (given.try_cast(TOKENS) - used) * price_in.cast(PRICE)
@@ -27,7 +32,7 @@ def cost_expression(
         & ((F.coalesce(cached, F.lit(0)) == 0) | price_cached.isNotNull())
     )
     # Multiplying by the exact decimal 0.000001 keeps the scale; division would re-derive it.
-    return F.when(known, (total * F.lit("0.000001").cast("decimal(7,6)")).cast(COST))
+    return F.when(known, (total.try_cast(MILLIONS) * F.lit("0.000001").cast("decimal(7,6)")).cast(COST))
 
 
 def token_cost(calls: DataFrame, pricing: DataFrame) -> DataFrame:

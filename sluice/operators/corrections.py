@@ -11,6 +11,8 @@ rows one ID holds, then the last setter per ID and range, a carry over an ID's r
 each range. No ID's history is gathered in one place.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -153,9 +155,27 @@ def apply_latest(requests: DataFrame, latest: DataFrame) -> DataFrame:
     return folded.select(*requests.columns)
 
 
+def with_policy(corrections: DataFrame, policy: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``corrections`` with ``summary_accepted``: the policy judges each different new summary once.
+
+    ``policy`` maps (id, resumen) to (id, summary_accepted), as for a classification; ``id`` is the summary itself here.
+    Corrections that leave the summary alone are accepted unseen.
+    """
+    texts = settle(corrections.where(has("resumen") & F.col("resumen").isNotNull()).select("resumen").distinct())
+    verdict = policy(texts.select(F.col("resumen").alias("id"), "resumen")).select(F.col("id").alias("resumen"), F.col("summary_accepted").alias("_fine"))
+    joined = corrections.join(verdict, "resumen", "left")
+    accepted = F.when(has("resumen"), F.coalesce("_fine", F.lit(False))).otherwise(F.lit(True))
+    return joined.select(*[name for name in corrections.columns if name != "summary_accepted"], accepted.alias("summary_accepted"))
+
+
 def fold_corrections(
-    requests: DataFrame, corrections: DataFrame, ranges: int | None = None
+    requests: DataFrame, corrections: DataFrame, ranges: int | None = None, policy: Callable[[DataFrame], DataFrame] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """(requests after all accepted corrections, rejected corrections with their reason)."""
+    """(requests after all accepted corrections, rejected corrections with their reason).
+
+    With ``policy`` (see ``with_policy``) a new summary in another language is rejected as ``summary_language``.
+    """
+    if policy is not None:
+        corrections = with_policy(corrections, policy)
     judged = judge_corrections(requests, corrections, ranges)
     return apply_latest(requests, latest_fields(judged)), judged.where(F.col("reason").isNotNull())

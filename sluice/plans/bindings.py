@@ -201,6 +201,11 @@ BINDINGS: dict[str, str] = {
                CASE WHEN event_type = 'purchase' THEN CASE WHEN value < 60 THEN concat('¿Cuál es el dato ', k, '?') END
                     WHEN value < 20 THEN '¿Cuál?' WHEN value < 25 THEN ' ' END AS pregunta_seguimiento
         FROM {{event_numbers}}""",
+    "judged_corrections": """
+        SELECT CASE WHEN seq % 11 = 0 THEN concat('none-', seq) ELSE id END AS id, ts, seq, has_categoria, categoria, has_prioridad, prioridad, has_area_sugerida, area_sugerida, has_idioma, idioma,
+               has_resumen, CASE WHEN seq % 6 = 0 THEN 'The thing was then there with others' WHEN seq % 6 = 1 THEN NULL ELSE 'Cambio del pedido revisado para el cliente' END AS resumen,
+               has_requiere_info, requiere_info, has_pregunta_seguimiento, pregunta_seguimiento
+        FROM {corrections}""",
     "candidates": """
         SELECT id AS row_id, key_number,
                CASE WHEN key_number % 41 = 0 THEN concat(' ', chr(9)) WHEN key_number % 43 = 0 THEN '' ELSE id END AS id,

@@ -7,10 +7,12 @@ from sluice.operators import language as L
 from sluice.operators.accounting import account_usage
 from sluice.operators.attempt_loop import classify_rounds
 from sluice.operators.classification import classify, outcome_messages, pandas_scorer, stamp_provenance
+from sluice.operators.corrections import fold_corrections
 from sluice.operators.rubric import DEFAULT_LABELS, LEXICON, NO_HIT_CONFIDENCE, rubric_labels, rubric_scores
-from sluice.plans.bindings import bind, bind_spread
+from sluice.plans.bindings import bind, bind_spread, stored_requests
 from sluice.plans.catalog import query, words_sql
 from sluice.plans.masking_queries import masked_ctes
+from sluice.plans.request_queries import FOLD_CTES
 from sluice.sources.files import prompt_files, valid_prompts
 from sluice.sources.workspace import new_folder, settle
 
@@ -287,3 +289,25 @@ def prompt_versions(spark, sf_dir):
     path = new_folder(spark, "prompts")
     counted.select(name.alias("version"), content.alias("value")).write.partitionBy("version").text(path)
     return valid_prompts(prompt_files(spark, path)).withColumn("content", F.rtrim(F.translate("content", "\n", " ")))
+
+
+# The one-by-one fold over corrections whose summaries are judged by language first.
+JUDGED_FOLD = (
+    FOLD_CTES.replace("FROM {corrections})", "FROM {judged_corrections} AS k_ LEFT JOIN verdict ON vk = k_.resumen)")
+    .replace("WHEN fold.state <> 'completed'", "WHEN c.has_resumen AND (c.resumen IS NULL OR c.lang_pred IS DISTINCT FROM 'es') THEN 'summary_language' WHEN fold.state <> 'completed'")
+)
+JUDGED_CTES = f"{PROFILE_CTES}, sums AS (SELECT DISTINCT resumen FROM {{judged_corrections}} WHERE resumen IS NOT NULL), {verdict_ctes('sums', 'resumen', 'resumen')}"
+
+
+@query(
+    "correction_policy",
+    f"WITH RECURSIVE {JUDGED_CTES}, {JUDGED_FOLD} SELECT id, seq, reason FROM fold WHERE n > 0 AND reason <> ''"
+    " UNION ALL SELECT id, seq, CASE WHEN NOT (has_categoria OR has_prioridad OR has_area_sugerida OR has_idioma OR has_resumen OR has_requiere_info OR has_pregunta_seguimiento) THEN 'empty'"
+    " WHEN has_resumen AND (resumen IS NULL OR lang_pred IS DISTINCT FROM 'es') THEN 'summary_language' ELSE 'not_found' END FROM c WHERE id NOT IN (SELECT id FROM {requests})",
+)
+def correction_policy(spark, sf_dir):
+    """Rejected corrections under the language policy: summaries in another language or none, and IDs that nobody sent."""
+    profile = _profile(spark, sf_dir)
+    requests = stored_requests(bind(spark, sf_dir, "requests"))
+    _, rejected = fold_corrections(requests, bind_spread(spark, sf_dir, "judged_corrections"), policy=lambda rows: L.spanish_accepted(rows, "resumen", profile))
+    return rejected.select("id", "seq", "reason")

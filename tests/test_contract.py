@@ -1,10 +1,12 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
 from sluice import schemas
 from sluice.functions import contract as C
 from sluice.functions import json_shape as J
-from sluice.functions.money import backoff_delay, token_cost
+from sluice.functions.money import backoff_delay, cost_expression, token_cost
 from sluice.functions.text import word_count
 from sluice.operators.classification import parse_answers
 
@@ -111,3 +113,13 @@ def test_a_text_that_closes_the_wrapper_is_not_json(spark):
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts + good)], "k int, t string")
     read = rows.select("k", J.parse_strict(F.col("t")).isNull().alias("gone")).orderBy("k").collect()
     assert [r.gone for r in read] == [True] * len(texts) + [False] * len(good)
+
+
+def test_cost_of_many_tokens_and_of_low_prices(spark):
+    rows = spark.sql(
+        "SELECT 2000000000000L AS g, 10L AS p, CAST(NULL AS BIGINT) AS c, 0.15BD AS i, 0.6BD AS o UNION ALL SELECT 1000000L, 1000000L, 0L, 0.00000049BD, 0.00000051BD"
+        " UNION ALL SELECT 5L, 5L, 9L, 1BD, 1BD"
+    )
+    cost = cost_expression(F.col("g"), F.col("p"), F.col("c"), F.col("i"), F.col("o"), F.lit(None).cast("decimal(12,6)"))
+    found = [r.cost for r in rows.select(cost.alias("cost")).collect()]
+    assert found == [Decimal("300000.000006"), Decimal("0.000001"), None]

@@ -114,3 +114,19 @@ def test_second_fold_starts_from_the_first(spark):
     assert (row.effective_category, row.effective_priority, row.effective_area) == ("datos", "media", "devops")
     assert row.corrected_at == START + timedelta(days=1) == row.updated_at
     assert row.ai_classification.categoria == "bug"
+
+
+def test_policy_turns_summaries_in_another_language_away(spark):
+    requests = spark.createDataFrame([_request("r", "completed", BASE)], schemas.REQUEST)
+    changes = [{"resumen": "pago doble"}, {"resumen": "english words"}, {"prioridad": "baja"}, {"resumen": "pago doble", "categoria": "datos"}]
+    rows = _table(spark, [("r", START + timedelta(minutes=n), n, change) for n, change in enumerate(changes)] + [("nobody", START, 9, {"prioridad": "alta"})])
+    seen = []
+
+    def policy(summaries):
+        seen.append(summaries.count())
+        return summaries.select("id", (~F.col("resumen").startswith("english")).alias("summary_accepted"))
+
+    folded, rejected = K.fold_corrections(requests, rows, policy=policy)
+    assert {(r.seq, r.reason) for r in rejected.collect()} == {(1, "summary_language"), (9, "not_found")} and seen == [2]
+    final = folded.first().human_correction
+    assert (final.resumen, final.prioridad, final.categoria) == ("pago doble", "baja", "datos")
