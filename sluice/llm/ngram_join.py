@@ -344,7 +344,8 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     wanted = settle(coarse.join(nodes, coarse["node"] == nodes["set_key"]).select("stands", F.col("set_key").alias("wanted"), "root", "n"))
     dealt = _parts(wanted.select("root", F.col("wanted").alias("set_key"), "stands", "n"), "root", "set_key", "n")
     of_row = (rows["text_key"] == F.col("stands.text_key")) & rows["doc_id"].eqNullSafe(F.col("stands.doc_id"))
-    gathered = rows.join(dealt, of_row).groupBy("task", "set_key", "n").agg(F.first(F.col("text").cast("binary")).alias("data"))
+    # The same plan at every size: sorted and merged, so that copies under one id are split at run time.
+    gathered = rows.join(dealt.hint("merge"), of_row).groupBy("task", "set_key", "n").agg(F.first(F.col("text").cast("binary")).alias("data"))
     classes = components(_linked(gathered, width, percent))
 
     labelled = nodes.join(classes, nodes["set_key"] == classes["node"], "left").select("set_key", "n", "least_id", "root")
