@@ -1,20 +1,20 @@
 """Idempotent intake and lifecycle of a stream, with a small state for each request.
 
-Two queries with a checkpoint each. ``stage_intake`` writes every micro-batch under its number, and beside it one row for
+Queries with a checkpoint each. ``stage_intake`` writes every micro-batch under its number, and beside it one row for
 each ID: its first submission and its first terminal event, by partial aggregates, so that a hot ID is one row however
-often it occurs. ``decide_intake`` reads those rows and keeps, keyed by ID in a RocksDB state store, the digest of the text
-that reserved the ID and the request's state; it touches the keys of a micro-batch and no others, so its cost does not
-grow with all that was ever reserved. Its decisions are joined back to the staged rows with the batch form's salts.
+often it occurs. ``decide_intake`` reads those rows in two streaming aggregations keyed by ID, whose state stays in RocksDB
+and in the JVM: the digest of the text that reserved the ID, with its batch, then the first terminal event from that batch on.
+They touch the keys of a micro-batch and no others, so their cost does not grow with all that was ever reserved. Decisions
+are joined back to the staged rows with the batch form's salts.
 
 Every output is a folder of a batch's number and is written again, with the same rows, when a batch is repeated.
 """
 
-from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from sluice.functions.text import is_blank
 from sluice.operators.skew import HOT_ROWS, attach
@@ -24,38 +24,9 @@ FIRSTS = "id string, digest binary, place long, target string, failure_code stri
 DECISIONS = (
     "batch long, id string, owner binary, created_place long, before string, ended_place long, state string, failure_code string, _rows long"
 )
-
-
-class RequestState(StatefulProcessor):
-    """Per ID (digest, state, number of the last batch). The first valid submission reserves it for good."""
-
-    def init(self, handle) -> None:
-        self.kept = handle.getValueState("request", "digest binary, state string, batch long")
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        digest = state = last = None
-        if self.kept.exists():
-            digest, state, last = self.kept.get()
-        known = last
-        for row in sorted(rows, key=lambda r: r.batch):  # one row for each staged batch
-            if last is not None and row.batch <= last:
-                continue  # a staged batch that was written again
-            before, created, ended = state, None, None
-            if state is None and row.digest is not None:
-                digest, state, created = bytes(row.digest), "processing", row.place
-            if state == "processing" and row.target is not None:  # after the batch's submissions
-                state, ended = row.target, row.end_place
-            if state is not None:
-                last = row.batch
-            yield Row(
-                batch=row.batch, id=key[0], owner=digest, created_place=created, before=before, ended_place=ended, state=state,
-                failure_code=row.failure_code if ended is not None else None, _rows=row._rows,
-            )
-        if last != known:
-            self.kept.update((digest, state, last))
-
-    def close(self) -> None:
-        pass
+OWNERS = "id string, born long, owner binary, newest long"
+OWNED = f"{FIRSTS}, born long, owner binary"
+ENDS = "id string, ended long, reached string, newest long"
 
 
 def _valid():
@@ -135,15 +106,72 @@ def rocksdb_state(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def decide_intake(spark: SparkSession, base: str, order: list[str], hot_rows: int = HOT_ROWS) -> StreamingQuery:
-    """Decide what is staged: ``decided`` has a row for each ID and batch, ``outcomes`` one for each staged row."""
+def _unseen(found: DataFrame, path: str, number: int) -> tuple[int, int]:
+    """First and last number of the folders that no step before ``number`` has seen; ``found`` has the ``newest`` number by ID."""
+    session = found.sparkSession
+    before = session.read.schema("newest long").parquet(f"{path}/step={number - 1}").first()[0] if number else -1
+    newest = found.agg(F.max("newest")).first()[0]
+    newest = before if newest is None else max(before, newest)
+    session.range(1).select(F.lit(newest).cast("long").alias("newest")).write.mode("overwrite").parquet(f"{path}/step={number}")
+    return before + 1, newest
+
+
+def decisions(owned: DataFrame, ends: DataFrame) -> DataFrame:
+    """What a staged batch changes for its IDs. ``owned``: its firsts with the ``owner`` digest and the batch that it was ``born`` in."""
+    rows = owned.join(ends.select("id", "ended", "reached"), "id")
+    mine = F.coalesce(F.col("born") <= F.col("batch"), F.lit(False))
+    over = F.coalesce(F.col("ended") < F.col("batch"), F.lit(False))  # before this batch
+    applied = mine & ~over & F.col("target").isNotNull()  # after the batch's submissions
+    return rows.select(
+        "batch", "id", F.when(mine, F.col("owner")).alias("owner"),
+        F.when(F.col("born") == F.col("batch"), F.col("place")).alias("created_place"),
+        F.when(F.col("born") < F.col("batch"), F.when(over, F.col("reached")).otherwise("processing")).alias("before"),
+        F.when(applied, F.col("end_place")).alias("ended_place"),
+        F.when(mine, F.when(over, F.col("reached")).otherwise(F.coalesce("target", F.lit("processing")))).alias("state"),
+        F.when(applied, F.col("failure_code")).alias("failure_code"), "_rows",
+    )
+
+
+def _updates(changes: DataFrame, run, checkpoint: str) -> StreamingQuery:
+    writer = changes.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def own_intake(spark: SparkSession, base: str) -> StreamingQuery:
+    """The first valid submission reserves an ID for good: ``owned`` has the staged firsts with their IDs' owners."""
     firsts = spark.readStream.schema(FIRSTS).parquet(f"{base}/firsts")
-    changes = firsts.groupBy("id").transformWithState(RequestState(), DECISIONS, "Update", "None")
+    first = F.min(F.when(F.col("digest").isNotNull(), F.struct("batch", "digest")))
+    changes = firsts.groupBy("id").agg(first.alias("b"), F.max("batch").alias("newest"))
 
     def run(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
+        path = f"{base}/owners/step={number}"
+        batch.select("id", F.col("b.batch").alias("born"), F.col("b.digest").alias("owner"), "newest").write.mode("overwrite").parquet(path)
+        owners = session.read.schema(OWNERS).parquet(path)
+        # A staged batch that was written again has been seen.
+        fresh = F.col("batch").between(*_unseen(owners, f"{base}/seen-firsts", number))
+        rows = session.read.schema(FIRSTS).parquet(f"{base}/firsts").where(fresh)
+        rows.join(owners.drop("newest"), "id").write.mode("overwrite").parquet(f"{base}/owned/step={number}")
+
+    return _updates(changes, run, f"{base}/checkpoint-own")
+
+
+def end_intake(spark: SparkSession, base: str, order: list[str], hot_rows: int = HOT_ROWS) -> StreamingQuery:
+    """The first terminal event of an owned ID ends it; events of batches before it was owned do not count."""
+    owned = spark.readStream.schema(f"{OWNED}, step long").parquet(f"{base}/owned")
+    counts = (F.col("born") <= F.col("batch")) & (F.col("target") != "processing")
+    first = F.min(F.when(counts, F.struct("batch", "target")))
+    changes = owned.groupBy("id").agg(first.alias("e"), F.max("step").alias("newest"))
+
+    def run(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        path = f"{base}/ends/step={number}"
+        batch.select("id", F.col("e.batch").alias("ended"), F.col("e.target").alias("reached"), "newest").write.mode("overwrite").parquet(path)
+        ends = session.read.schema(ENDS).parquet(path)
+        fresh = F.col("step").between(*_unseen(ends, f"{base}/seen-owned", number))
+        rows = session.read.schema(f"{OWNED}, step long").parquet(f"{base}/owned").where(fresh)
         path = f"{base}/decided/step={number}"
-        batch.write.mode("overwrite").parquet(path)
+        decisions(rows, ends).write.mode("overwrite").parquet(path)
         decided = session.read.schema(DECISIONS).parquet(path)
         for (staged_batch,) in decided.select("batch").distinct().collect():  # numbers of the micro-batches just staged
             staged = session.read.parquet(f"{base}/staged/batch={staged_batch}").withColumn("batch", F.lit(staged_batch).cast("long"))
@@ -152,12 +180,14 @@ def decide_intake(spark: SparkSession, base: str, order: list[str], hot_rows: in
             found = outcomes(staged, now, order, hot_rows).drop("batch")
             found.write.mode("overwrite").parquet(f"{base}/outcomes/batch={staged_batch}")
 
+    return _updates(changes, run, f"{base}/checkpoint-end")
+
+
+def decide_intake(spark: SparkSession, base: str, order: list[str], hot_rows: int = HOT_ROWS) -> StreamingQuery:
+    """Decide what is staged: ``decided`` has a row for each ID and batch, ``outcomes`` one for each staged row."""
     with rocksdb_state(spark):
-        return (
-            changes.writeStream.foreachBatch(run).outputMode("update").option("checkpointLocation", f"{base}/checkpoint-decide")
-            .trigger(availableNow=True)
-            .start()
-        )
+        own_intake(spark, base).awaitTermination()
+        return end_intake(spark, base, order, hot_rows)
 
 
 def stream_intake(rows: DataFrame, base: str, order: list[str], hot_rows: int = HOT_ROWS) -> StreamingQuery:

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -87,6 +88,36 @@ def test_intake_state_work_follows_the_batch_not_the_history(spark, tmp_path):
     assert max(read[1:]) <= 2 * read[1]  # state bytes read for a batch do not grow with the history
 
 
+def test_intake_is_decided_by_native_state_as_one_by_one(spark, tmp_path):
+    """No Python call for each ID; several staged batches in one step, events before an ID is reserved, more batches later."""
+    source, base, rng = tmp_path / "in", tmp_path / "base", random.Random(3)
+    kept, expected, at = {}, {}, 0
+    for n in range(1, 6):
+        rows = []
+        for _ in range(30):
+            at += 1
+            event = rng.random() < 0.4
+            rows.append({"id": f"i{rng.randrange(30)}", "arrival": at} | ({"target": rng.choice(["completed", "failed"])} if event else {"raw_message": rng.choice(["x", "y"])}))
+        before = {key: state for key, (_, state) in kept.items()}
+        for row in [r for r in rows if "target" not in r]:
+            first = row["id"] not in kept
+            owner = kept.setdefault(row["id"], (row["raw_message"], "processing"))[0]
+            known = {"processing": "in_progress", "completed": "duplicate_completed", "failed": "failed_terminal"}.get(before.get(row["id"]))
+            expected[row["arrival"]] = "conflict" if row["raw_message"] != owner else known or ("created" if first else "duplicate")
+        for row in [r for r in rows if "target" in r]:
+            owner, state = kept.get(row["id"], (None, None))
+            expected[row["arrival"]] = "not_found" if state is None else "applied" if state == "processing" else "not_processing"
+            if state == "processing":
+                kept[row["id"]] = (owner, row["target"])
+        _arrive(source, f"{n}.json", rows)
+        if n in (4, 5):
+            query = _intake(spark, source, base)
+            assert _outcomes(spark, base) == expected
+            assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"stateStoreSave"}
+    assert {r.id: r.state for r in request_states(spark, str(base)).collect()} == {key: state for key, (_, state) in kept.items()}
+    assert set(expected.values()) >= {"created", "conflict", "applied", "not_found", "not_processing", "in_progress", "failed_terminal"}
+
+
 def test_corrections_over_batches_equal_arrival_order(spark, tmp_path):
     changes = [
         {"categoria": "datos"}, {"requiere_info": True}, {"requiere_info": True, "pregunta_seguimiento": "¿Qué?"},
