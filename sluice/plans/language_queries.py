@@ -180,7 +180,8 @@ def _tried(spark, sf_dir):
     def policy(summaries):
         """The verdict of each different summary once, given back to the rows that have it."""
         texts = settle(summaries)
-        verdict = L.spanish_accepted(texts.select("resumen").distinct(), "resumen", profile, key="resumen")
+        # Written down: Spark sees how small it is, and the rows are not gathered by their summary.
+        verdict = settle(L.spanish_accepted(texts.select("resumen").distinct(), "resumen", profile, key="resumen"))
         return texts.join(verdict, "resumen").select("id", "summary_accepted")
 
     pricing = spark.sql("SELECT 'model-a' AS model, 1.5BD AS input_per_million, 2.5BD AS output_per_million, CAST(NULL AS DECIMAL(12, 6)) AS cached_input_per_million")

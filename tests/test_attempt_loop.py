@@ -141,3 +141,19 @@ def test_structured_answers_and_odd_messages(spark):
     assert classify_rounds(messages.limit(0), caller).outcomes.count() == 0
     with pytest.raises(ValueError):
         classify_rounds(messages, caller, max_attempts=0)
+
+
+def test_policy_reads_answers_that_are_written_down(spark):
+    """What stands behind an answer, joins and all, is not done again for the policy."""
+    plans = []
+
+    def policy(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows.select("id", (F.col("resumen") == GOOD["resumen"]).alias("summary_accepted"))
+
+    script = {"a": ["good"] * 2, "b": ["english", "good"], "c": ["silent", "twice"]}
+    messages = spark.createDataFrame([(key, "hola") for key in script], "id string, message string")
+    found = classify_rounds(messages, _caller(script, spark.sparkContext.accumulator(0)), policy, max_attempts=2)
+    assert {r.id: (r.state, r.failure_category, r.attempts) for r in found.outcomes.collect()} == {
+        "a": ("succeeded", None, 1), "b": ("succeeded", None, 2), "c": ("failed", "unexpected_error", 1)}
+    assert len(plans) == 2 and not any("Join" in plan for plan in plans)
