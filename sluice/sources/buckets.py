@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.sources.workspace import settle
+
 BUCKETS, MOST_DELTAS = 64, 4
 _MANIFEST = "bucket int, step int, place int, buckets int"
 
@@ -60,9 +62,12 @@ class BucketTable:
     def _write(self, rows: DataFrame, step: int, buckets: int) -> list[int]:
         """The rows in their buckets' folders; gives the buckets that got any."""
         path = f"{self.path}/data/step={step}"
-        # One row for each key, so hash buckets are even; a larger table wants more of them.
+        # One row for each key, so hash buckets are even. A bucket is written by as many tasks as the session has shuffle
+        # partitions for it; of a small change adaptive execution makes one task and a file for each bucket.
+        slices = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // buckets)
+        part = F.pmod(F.xxhash64(F.lit(1), self.key), F.lit(slices))
         placed = rows.select(*self.schema.names).withColumn("bucket", self.bucket_of(buckets))
-        placed.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(path)
+        placed.repartition("bucket", part).write.partitionBy("bucket").mode("overwrite").parquet(path)
         written = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("bucket", T.IntegerType())])).parquet(path)
         return [r[0] for r in written.select("bucket").distinct().collect()]  # at most as many as there are buckets
 
@@ -126,8 +131,12 @@ class BucketTable:
         return [r[0] for r in keys.where(F.col(self.key).isNotNull()).select(self.bucket_of(buckets).alias("b")).distinct().collect()]
 
     def read_keys(self, keys: DataFrame, version: int) -> DataFrame:
-        """Rows of the given keys, from their buckets only."""
-        return self.read(version, self.touched(keys, version)).join(keys.select(self.key).distinct(), self.key, "left_semi").select(*self.schema.names)
+        """Rows of the given keys, from their buckets only.
+
+        The keys are written down first: of few, Spark sees the size and sends them to the buckets' rows, which stay where they are.
+        """
+        named = settle(keys.select(self.key).where(F.col(self.key).isNotNull()).distinct())
+        return self.read(version, self.touched(named, version)).join(named, self.key, "left_semi").select(*self.schema.names)
 
     def rewritten(self, version: int) -> int:
         """How many buckets the change that made a version wrote."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sluice import schemas
 from sluice.operators.requests import content_of
 from sluice.sources.buckets import BucketTable
+from sluice.sources.workspace import settle
 
 
 def requests_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +52,7 @@ def guard_finished(finished: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(good & ~F.col("classification.id").eqNullSafe(F.col("id")), "other_id")
         .when(~good & ~F.coalesce(F.col("error_type").rlike(SANITIZED), F.lit(False)), "failure_code")
     )
+    finished = settle(finished)  # read for the counts and for the rows
     often = finished.groupBy("id").agg(F.count("*").alias("_rows")).where("_rows > 1").select("id", F.lit(True).alias("_often"))
     judged = finished.join(often, "id", "left").withColumn("reason", F.coalesce(reason, F.when(F.col("_often"), "repeated"))).drop("_often")
     return judged.where(F.col("reason").isNull()).drop("reason"), judged.where(F.col("reason").isNotNull())
@@ -59,14 +61,14 @@ def guard_finished(finished: DataFrame) -> tuple[DataFrame, DataFrame]:
 def upsert_bucketed(table: BucketTable, version: int, reserved: DataFrame, finished: DataFrame) -> int:
     """The version after ``version``: only the buckets of the given IDs are read, and written as deltas.
 
-    Arguments as of ``upsert_requests``. Rows that stay as they are go into no delta.
+    Arguments as of ``upsert_requests``. Rows that stay as they are go into no delta. What is given is computed once, however
+    often it is read here.
     """
+    reserved, finished = settle(reserved), settle(finished)
     keys = reserved.select("id").unionByName(finished.select("id"))
     before = table.read_keys(keys, version)
-    after = upsert_requests(before, reserved, finished)
-    old = before.select("id", F.col("state").alias("_state"))
-    changed = after.join(old, "id", "left").where(~F.col("_state").eqNullSafe(F.col("state"))).drop("_state")
-    return table.put(changed, version)
+    after = _upserted(before, reserved, finished)
+    return table.put(after.where(~F.col("_state").eqNullSafe(F.col("state"))).drop("_state"), version)
 
 
 def upsert_requests(stored: DataFrame, reserved: DataFrame, finished: DataFrame) -> DataFrame:
@@ -76,11 +78,16 @@ def upsert_requests(stored: DataFrame, reserved: DataFrame, finished: DataFrame)
     (id, at, classification, metadata, error_type). Stored IDs are never taken again, and only processing
     rows change.
     """
+    return _upserted(stored, reserved, finished).drop("_state")
+
+
+def _upserted(stored: DataFrame, reserved: DataFrame, finished: DataFrame) -> DataFrame:
+    """The next version with ``_state``, the state before; null of new rows."""
     new = reserved.join(stored.select("id"), "id", "left_anti").select(
         "id", "raw_message", F.lit("processing").alias("state"),
         F.col("arrival").alias("created_at"), F.col("arrival").alias("updated_at"),
     )
-    everything = stored.unionByName(new, allowMissingColumns=True)
+    everything = stored.withColumn("_state", F.col("state")).unionByName(new, allowMissingColumns=True)
     joined = everything.join(finished, "id", "left")
     done = F.col("at").isNotNull() & (F.col("state") == "processing")
     good = done & F.col("classification").isNotNull()
@@ -103,5 +110,5 @@ def upsert_requests(stored: DataFrame, reserved: DataFrame, finished: DataFrame)
         "created_at",
         pick("updated_at", F.col("at"), done),
         pick("classified_at", F.col("at"), good),
-        "corrected_at",
+        "corrected_at", "_state",
     )

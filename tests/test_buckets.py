@@ -89,3 +89,44 @@ def test_upsert_reads_and_writes_its_ids_only(spark, tmp_path):
     states = {r.id: (r.state, r.failure_code) for r in table.read(1).collect()}
     assert len(states) == 201 and states["new"] == ("processing", None) and states["r1"] == ("failed", "timeout")
     assert states["r2"] == ("completed", None) and states["r4"][0] == "completed" and table.rewritten(1) <= 2
+
+
+def test_upsert_computes_what_it_is_given_once(spark, tmp_path):
+    table = BucketTable(spark, str(tmp_path / "once"), schemas.REQUEST)
+    table.create(spark.createDataFrame([_request("a", "processing", BASE), _request("b", "completed", BASE)], schemas.REQUEST), 4)
+    counts = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(rows, counter, kind):
+        def each(batches):
+            for batch in batches:
+                counter.add(batch.num_rows)
+                yield batch
+
+        return spark.createDataFrame(rows, kind).mapInArrow(each, kind)
+
+    reserved = counted([("b", "x", START), ("c", "y", START)], counts[0], "id string, raw_message string, arrival timestamp")
+    ended = counted([("a", START, "timeout"), ("b", START, "timeout"), ("c", START, "Bad Code")], counts[1], "id string, at timestamp, error_type string")
+    for name, kind in (("classification", schemas.CLASSIFICATION), ("metadata", schemas.METADATA)):
+        ended = ended.withColumn(name, F.lit(None).cast(kind))
+    version = upsert_bucketed(table, 0, reserved, guard_finished(ended)[0])
+    assert {r.id: (r.state, r.failure_code) for r in table.read(version).collect()} == {"a": ("failed", "timeout"), "b": ("completed", None), "c": ("processing", None)}
+    assert [c.value for c in counts] == [2, 3]
+
+
+def test_few_keys_go_to_the_rows_of_their_buckets(spark, table):
+    version = table.create(spark.range(2000).selectExpr("concat('k', id) AS id", "id AS value", "'n' AS note"), 8)
+    # Spark can only guess that this gives four keys.
+    keys = spark.range(40_000_000).where("id % 10000000 = 7").selectExpr("concat('k', id) AS id")
+    found = table.read_keys(keys, version)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [r.id for r in found.collect()] == ["k7"]
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, table, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with much data
+    try:
+        table.create(spark.range(2000).selectExpr("concat('k', id) AS id", "id AS value", "'n' AS note"), 1)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "table/data/step=0/bucket=0").glob("*.parquet"))) > 1 and table.read().count() == 2000
