@@ -27,7 +27,7 @@ def corrections_batch(table_path: str, rejected_path: str, most_deltas: int = MO
         current = settle(table.read_keys(batch, 2 * number))
         judged = settle(judge_corrections(current, batch))
         judged.where(F.col("reason").isNotNull()).write.mode("overwrite").parquet(f"{rejected_path}/batch={number}")
-        latest = latest_fields(judged.where(F.col("reason").isNull()))
+        latest = settle(latest_fields(judged.where(F.col("reason").isNull())))
         changed = current.join(latest.select("id"), "id", "left_semi")
         after = table.put(apply_latest(changed, latest), 2 * number)
         if table.compact(after, most_deltas) == after:
