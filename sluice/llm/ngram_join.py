@@ -30,6 +30,8 @@ FANOUT = 16
 PART_ROWS = 8192
 PART_GRAMS = 4_000_000
 COMMON_SHARE = 256
+#: N-grams that are held together for one numpy call, or for one batch that is handed on.
+BLOCK = 1 << 18
 
 
 def _gram_sets(column, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -43,6 +45,16 @@ def _gram_sets(column, width: int) -> Iterator[tuple[int, np.ndarray]]:
             yield row, runs[np.concatenate([[True], runs[1:] != runs[:-1]])] if len(runs) else runs
 
 
+def _frequent(blocks: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram, how often it occurs) of those that occur ``least`` times; a table of hashed counts picks what to count."""
+    mask, cells = np.uint64(0xFFFFF), np.zeros(1 << 20, np.int64)
+    for block in blocks:
+        cells += np.bincount((block & mask).astype(np.int64), minlength=len(cells))
+    values, times = np.unique(np.concatenate([b[cells[(b & mask).astype(np.int64)] >= least] for b in blocks]), return_counts=True)
+    often = times >= least
+    return values[often], times[often]
+
+
 def _set_key(grams: np.ndarray) -> int:
     """A number of the set: equal sets, equal numbers."""
     if not len(grams):
@@ -241,19 +253,20 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         counted: dict[int, int] = {}
         total = held = 0
         for batch in batches:
-            ids, keys, sizes, grams_of, signs = batch.column(0), [], [], [], []
+            ids, keys, sizes, signs, blocks, waiting, held_back = batch.column(0), [], [], [], [], [], 0
             for _, grams in _gram_sets(batch.column(1), width):
                 keys.append(_set_key(grams))
                 sizes.append(len(grams))
-                grams_of.append(grams)
                 signs.append(signature(grams).tobytes() if len(grams) else None)
+                waiting.append(grams)
+                held_back += len(grams)
+                if held_back >= BLOCK:
+                    blocks.append(np.concatenate(waiting))
+                    waiting, held_back = [], 0
             if sum(sizes):
-                # What is frequent in no batch cannot be frequent in a task; a table of hashed counts picks what to count.
-                together, least = np.concatenate(grams_of), max(2, len(keys) // COMMON_SHARE)
-                cells = (together & np.uint64(0xFFFFF)).astype(np.int64)
-                values, times = np.unique(together[np.bincount(cells, minlength=1 << 20)[cells] >= least], return_counts=True)
-                often = times >= least
-                for value, n in zip(values[often].astype(np.int64).tolist(), times[often].tolist()):
+                # What is frequent in no batch cannot be frequent in a task.
+                values, times = _frequent([*blocks, np.concatenate([np.zeros(0, np.uint64), *waiting])], max(2, len(keys) // COMMON_SHARE))
+                for value, n in zip(values.astype(np.int64).tolist(), times.tolist()):
                     counted[value] = counted.get(value, 0) + n
             total += len(keys)
             yield pa.RecordBatch.from_arrays(
@@ -278,8 +291,15 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     def prefixes(batches):
         told: set[int] = set()  # copies in a task tell their prefix once
+
+        def out(grams_out, keys, sizes):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(grams_out).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))],
+                ["gram", "set_key", "n"],
+            )
+
         for batch in batches:
-            grams_out, keys, sizes = [], [], []
+            grams_out, keys, sizes, held_back = [], [], [], 0
             for _, grams in _gram_sets(batch.column(1), width):
                 if not len(grams) or (key := _set_key(grams)) in told:
                     continue
@@ -293,11 +313,12 @@ def ngram_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str =
                 grams_out.append(prefix)
                 keys.append(np.full(len(prefix), key, np.int64))
                 sizes.append(np.full(len(prefix), size, np.int32))
+                held_back += len(prefix)
+                if held_back >= BLOCK:
+                    yield out(grams_out, keys, sizes)
+                    grams_out, keys, sizes, held_back = [], [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(grams_out).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))],
-                    ["gram", "set_key", "n"],
-                )
+                yield out(grams_out, keys, sizes)
 
     def meetings(batches):
         """Of rows sorted by n-gram: those whose n-gram stands in several sets, with a number of that group of sets."""

@@ -1,12 +1,16 @@
 """Every stage of the pipeline, and all of them, against plain Python on rows with null and repeated ids."""
 
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from sluice.llm import bytes_words, ngram_join
 from sluice.llm.ngram_join import ngram_classes
 from sluice.llm.quality import fit, scored
 
@@ -141,3 +145,23 @@ def test_quality_stage_equals_the_scores(spark):
     model = fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     good = scored(docs, model).where(F.col("score") >= 0.5).count()
     assert corpus_pipeline.quality(spark, docs, sf).count() == good < docs.count()
+
+
+def test_shingles_of_a_batch_take_bounded_memory():
+    """What a worker holds beside a batch does not grow with it, and frequent shingles are those of a plain count."""
+    rng = np.random.default_rng(2)
+    column = pa.array([" ".join(map(str, rng.integers(0, 9999, 500))) for _ in range(2000)] + [None, "one two"])
+    rows = dict(ngram_join._gram_sets(column, 5))
+    assert len(rows) == len(column) and not len(rows[2000]) and len(rows[2001]) == 1
+    bytes_words._powers.clear()
+    tracemalloc.start()
+    for _ in ngram_join._gram_sets(column, 5):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert column.nbytes > 4e6 and peak < 24e6
+
+    blocks = [rng.integers(0, 3000, 5000).astype(np.uint64), np.zeros(0, np.uint64), rng.integers(0, 1500, 5000).astype(np.uint64) << np.uint64(20)]
+    values, times = ngram_join._frequent(blocks, 4)
+    plain = Counter(np.concatenate(blocks).tolist())
+    assert dict(zip(values.tolist(), times.tolist())) == {k: n for k, n in plain.items() if n >= 4}
