@@ -46,7 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = ngram_classes(rows, id_column="_row", width=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row"))
     kept = rows.select("doc_id", "_row").join(classes, "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
-    return rows.join(settle(kept), "_row", "left_semi").select(*COLUMNS)
+    # The same plan at every size: what it shuffles grows with the input, not by a jump where a broadcast ends.
+    return rows.join(settle(kept).hint("merge"), "_row", "left_semi").select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
