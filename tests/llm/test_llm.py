@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -340,3 +341,45 @@ def test_pipeline(spark):
     left = {r.doc_id for r in docs.collect()}
     assert left < kept and len(left) > len(kept) / 2
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == left
+
+
+def test_gradients_are_those_of_the_loss():
+    """Against differences of a one-by-one attention over the windows of two long texts and short ones."""
+    rng = np.random.default_rng(4)
+    offsets = np.array([0, 1, 70, 270, 275])
+    at, inside = attention.windows(offsets)
+    at, ids = np.clip(at, 0, 274), rng.integers(0, 50, 275)
+    groups, targets, class_after = ids % 7, ids % 11, np.log(rng.random((7, attention.CLASSES)).astype(np.float32) + 0.1)
+    weights = {k: w + rng.standard_normal(w.shape).astype(np.float32) * np.float32(0.1) for k, w in attention.fresh_weights().items()}
+    late = at[:, attention.CONTEXT :]
+
+    def loss(weights):
+        w, total = {k: x.astype(float) for k, x in weights.items()}, []
+        for row, live in zip(at, inside):
+            x = w["embed"][ids[row]] + w["place"]
+            for p in range(attention.CONTEXT, attention.WINDOW):
+                if live[p]:
+                    seen = [k for k in range(p + 1) if live[k]]
+                    share = np.exp((x[p] @ w["q"]) @ (x[seen] @ w["k"]).T / np.sqrt(attention.WIDTH))
+                    logits = (share / share.sum() @ (x[seen] @ w["v"]) + x[p]) @ w["out"] + class_after[groups[row[p]]]
+                    total.append(np.log(np.exp(logits).sum()) - logits[targets[row[p]]])
+        return np.mean(total)
+
+    grad = attention.gradients(weights, ids[at], groups[late], targets[late], inside, class_after)
+    for name, w in weights.items():
+        place = np.unravel_index(np.argmax(np.abs(grad[name])), w.shape)
+        up, down = ({**weights, name: w.astype(float)} for _ in range(2))
+        up[name][place] += 1e-5
+        down[name][place] -= 1e-5
+        assert math.isclose((loss(up) - loss(down)) / 2e-5, grad[name][place], rel_tol=1e-2), name
+
+
+def test_ids_come_back_from_their_bytes():
+    texts = pa.array(["one two three", None, "", "a" * 700, "É́té <|endoftext|> x"])
+    tokens = attention.WordTokens(TOKENIZER)
+    size = tokens.tokenizer.get_vocab_size()
+    for kind in ("<u2", "<u4"):
+        coded, sizes = attention._encoded(texts, tokens, kind)
+        (first, last, ids, places), = attention._subwords(pa.array(coded, pa.binary()), pa.array(sizes), kind, size)
+        plain = [np.frombuffer(tokens(t or ""), "<u4").tolist() + [size] for t in texts.to_pylist()]
+        assert (first, last, ids.tolist()) == (0, 5, sum(plain, [])) and np.diff(places).tolist() == [len(x) for x in plain]
