@@ -165,3 +165,10 @@ def test_shingles_of_a_batch_take_bounded_memory():
     values, times = ngram_join._frequent(blocks, 4)
     plain = Counter(np.concatenate(blocks).tolist())
     assert dict(zip(values.tolist(), times.tolist())) == {k: n for k, n in plain.items() if n >= 4}
+
+
+def test_rows_that_stay_are_picked_by_the_same_join_at_every_size(spark, capsys):
+    docs = spark.createDataFrame([(1, _text(), "x", "y", 1, "z", 2), (2, None, "x", "y", 1, "z", 2)], SCHEMA)
+    corpus_pipeline.near_duplicates(spark, docs, "").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
