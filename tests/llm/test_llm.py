@@ -383,3 +383,39 @@ def test_ids_come_back_from_their_bytes():
         (first, last, ids, places), = attention._subwords(pa.array(coded, pa.binary()), pa.array(sizes), kind, size)
         plain = [np.frombuffer(tokens(t or ""), "<u4").tolist() + [size] for t in texts.to_pylist()]
         assert (first, last, ids.tolist()) == (0, 5, sum(plain, [])) and np.diff(places).tolist() == [len(x) for x in plain]
+
+
+def test_encoding_holds_a_bounded_stretch(spark, monkeypatch):
+    """However many rows a batch has, their subwords are handed on by the stretch; the words kept stay within their bound."""
+    stretches = []
+
+    def encoded(texts, tokens, kind, whole=attention._encoded):
+        found = whole(texts, tokens, kind)
+        stretches.append((int(found[1].sum()), len(tokens.known)))
+        return found
+
+    class Seen(Exception):
+        pass
+
+    def settled(df):
+        plans.append(df)
+        if len(plans) == 2:
+            raise Seen
+        return df
+
+    plans, run = [], {}
+    monkeypatch.setattr(attention, "settle", settled)
+    monkeypatch.setattr(attention, "_encoded", encoded)
+    monkeypatch.setattr(attention, "_WORDS_KEPT", 500, raising=False)
+    maps = type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda df, f, *a, **b: (run.__setitem__(f.__name__, f), maps(df, f, *a, **b))[1])
+    texts = [" ".join(f"w{k}x{n}" for n in range(100)) for k in range(2000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    with pytest.raises(Seen):
+        language_scores(docs, TOKENIZER)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(texts), pa.array([False] * 2000), pa.array(range(2000))], ["doc_id", "text", "held_out", "row"])
+    made = pa.Table.from_batches(run["encode"]([batch])).filter(pa.compute.field("ids").is_valid())
+    assert made["row"].to_pylist() == list(range(2000)) and made["size"].to_pylist() == [len(t) for t in texts]
+    assert max(size for size, _ in stretches) <= 1 << 18 and max(known for _, known in stretches) <= 500
+    plain = attention.WordTokens(TOKENIZER)
+    assert all(np.frombuffer(ids, "<u2").tolist() == np.frombuffer(plain(t), "<u4").tolist() for ids, t in zip(made["ids"].to_pylist(), texts))
