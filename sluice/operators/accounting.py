@@ -5,6 +5,9 @@ the rest, so a message that holds a large share of a log costs no more than its
 Events: run_id, line (any orderable position), message_id, attempt (null unless a JSON integer), model,
 prompt_version, success, input_tokens, output_tokens, cached_input_tokens, estimated_cost_usd.
 Outcomes: run_id, id, state, prompt_version, max_attempts and the result metadata as meta_*.
+
+Messages are joined by sort and merge at every size: Spark takes outcomes that were read from small files for small, and would
+gather them on the driver to broadcast them.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +35,7 @@ def distinct_attempts(events: DataFrame) -> DataFrame:
 def matched_attempts(distinct: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Distinct attempts with ``known``: whether the message belongs to the run."""
     ids = outcomes.select("run_id", F.col("id").alias("message_id"), F.lit(True).alias("_known"))
-    joined = distinct.join(ids, ["run_id", "message_id"], "left")
+    joined = distinct.join(ids.hint("merge"), ["run_id", "message_id"], "left")
     return joined.withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
 
 
@@ -111,7 +114,7 @@ def prior_attempts_failed(sequence: DataFrame) -> DataFrame:
 
 def outcome_reasons(sequence: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Why an outcome's attempts do not account for it: the first structural reason, or up to three others."""
-    joined = outcomes.join(sequence.withColumnRenamed("message_id", "id"), ["run_id", "id"], "left")
+    joined = outcomes.join(sequence.withColumnRenamed("message_id", "id").hint("merge"), ["run_id", "id"], "left")
     seen = F.col("attempts").isNotNull()
     final = F.col("meta_attempt")
     broken = ~F.coalesce(

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from decimal import Decimal
 
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sluice import fixed_values as V
 from sluice import schemas
+from sluice.operators import accounting, attempt_loop
 from sluice.operators.accounting import account_usage
 from sluice.operators.attempt_loop import classify_rounds
 from sluice.sources.store import guard_finished, upsert_requests
@@ -157,3 +159,22 @@ def test_policy_reads_answers_that_are_written_down(spark):
     assert {r.id: (r.state, r.failure_category, r.attempts) for r in found.outcomes.collect()} == {
         "a": ("succeeded", None, 1), "b": ("succeeded", None, 2), "c": ("failed", "unexpected_error", 1)}
     assert len(plans) == 2 and not any("Join" in plan for plan in plans)
+
+
+def test_ids_are_never_gathered_on_the_driver(spark, monkeypatch):
+    """Joins by ID are the same at every size: sizes of files say little about the rows in them."""
+    plans = []
+
+    def plan(rows):
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    for module in (attempt_loop, accounting):
+        monkeypatch.setattr(module, "settle", lambda rows, whole=module.settle: whole(plan(rows)))
+    script = {"a": ["timeout", "good"], "b": ["refusal"], "c": ["english", "good"]}
+    messages = spark.createDataFrame([(i, "texto") for i in script], "id string, message string")
+    found = classify_rounds(messages, _caller(script, spark.sparkContext.accumulator(0)), _policy, max_attempts=2)
+    summary, reasons = account_usage(found.events(F.lit("run-1")), found.run_items(F.lit("run-1"), "v1", 2))
+    assert plan(summary).first().observed_model_calls == 5 and {(r.message_id, r.reason) for r in plan(reasons).collect()} == {("b", "failed_attempt_count_unknown")}
+    by_id = [line for p in plans for line in p.split("\n") if "Join" in line and re.search(r"\b(message_)?id#", line)]
+    assert len(by_id) >= 8 and all("SortMergeJoin" in line for line in by_id), by_id
