@@ -374,6 +374,37 @@ def test_gradients_are_those_of_the_loss():
         assert math.isclose((loss(up) - loss(down)) / 2e-5, grad[name][place], rel_tol=1e-2), name
 
 
+def test_scores_and_gradients_share_the_powers_of_what_was_counted():
+    """Scores against a one-by-one attention; the powers of the counted part are taken once, by whoever has them."""
+    rng = np.random.default_rng(8)
+    size, offsets = 400, np.array([0, 1, 70, 270, 275])
+    ids = rng.integers(0, size, 275)
+    ids[offsets[1:] - 1] = size
+    vocabulary = attention.Vocabulary(np.bincount(ids, minlength=size + 1).astype(float), rng.random(size + 1) < 0.5)
+    vocabulary.learn(rng.integers(0, 40, (attention.GROUPS, attention.COLUMNS)).astype(float))
+    weights = {k: w + rng.standard_normal(w.shape).astype(np.float32) * np.float32(0.2) for k, w in attention.fresh_weights().items()}
+    w, plain = {k: x.astype(float) for k, x in weights.items()}, []
+    for begin, end in zip(offsets, offsets[1:]):
+        before, total = np.append(size, ids[begin : end - 1]), 0.0
+        for p in range(end - begin):
+            first = p // attention.STEP * attention.STEP - attention.CONTEXT
+            seen = np.arange(max(0, first), p + 1)
+            x = w["embed"][vocabulary.inputs[before[seen]]] + w["place"][seen - first]
+            share = np.exp((x[-1] @ w["q"]) @ (x @ w["k"]).T / np.sqrt(attention.WIDTH))
+            logits = (share / share.sum() @ (x @ w["v"]) + x[-1]) @ w["out"] + vocabulary.class_after[vocabulary.groups[before[p]]]
+            inside = vocabulary.inside(ids[begin + p : begin + p + 1], before[p : p + 1])[0]
+            total += logits[vocabulary.classes[ids[begin + p]]] - np.log(np.exp(logits).sum()) + inside
+        plain.append(total)
+    assert np.allclose(attention.log_probabilities(weights, vocabulary, ids, offsets), plain, rtol=1e-5)
+
+    at, inside = attention.windows(offsets)
+    at = np.clip(at, 0, 274)
+    late = at[:, attention.CONTEXT :]
+    given = weights, vocabulary.inputs[ids[at]], vocabulary.groups[ids[late]], vocabulary.classes[ids[late]], inside
+    whole, handed = attention.gradients(*given, vocabulary.class_after), attention.gradients(*given, None, np.exp(vocabulary.class_after))
+    assert all(np.array_equal(whole[k], handed[k]) and np.abs(whole[k]).max() > 0 for k in weights)
+
+
 def test_ids_come_back_from_their_bytes():
     texts = pa.array(["one two three", None, "", "a" * 700, "É́té <|endoftext|> x"])
     tokens = attention.WordTokens(TOKENIZER)
