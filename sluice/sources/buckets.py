@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from sluice.sources.workspace import settle
 
-BUCKETS, MOST_DELTAS = 64, 4
+BUCKETS, MOST_DELTAS, FEW_KEYS = 64, 4, 10_000
 _MANIFEST = "bucket int, step int, place int, buckets int"
 
 
@@ -133,9 +133,13 @@ class BucketTable:
     def read_keys(self, keys: DataFrame, version: int) -> DataFrame:
         """Rows of the given keys, from their buckets only.
 
-        The keys are written down first: of few, Spark sees the size and sends them to the buckets' rows, which stay where they are.
+        The keys are written down first. At most ``FEW_KEYS`` become part of the plan, so that the table's own files are all
+        it reads: Spark sees the size of few and sends them to the buckets' rows, which stay where they are.
         """
         named = settle(keys.select(self.key).where(F.col(self.key).isNotNull()).distinct())
+        first = named.limit(FEW_KEYS + 1).toArrow()
+        if first.num_rows <= FEW_KEYS:
+            named = self.spark.createDataFrame(first, named.schema)
         return self.read(version, self.touched(named, version)).join(named, self.key, "left_semi").select(*self.schema.names)
 
     def rewritten(self, version: int) -> int:
